@@ -54,3 +54,8 @@ def elapsed_text(seconds: Column) -> Column:
         seconds.isNotNull(),
         F.format_string("%02d h %02d m", F.floor(whole / 3600), F.floor((whole % 3600) / 60)),
     )
+
+
+def strip_forecast_prefix(method: Column) -> Column:
+    """`pred/X` is method X, `pred` alone is the base forecast."""
+    return F.when(method == "pred", F.lit("base")).otherwise(F.regexp_replace(method, "^pred/", ""))

@@ -12,8 +12,8 @@ from stratocast.operators.models import null_safe_on
 
 
 def join_calendar(fact: DataFrame, cal: DataFrame, on: str = "date") -> DataFrame:
-    """A calendar has one row per day, so it is broadcast whatever the fact's size; 100 years are 36,525 rows."""
-    return fact.join(F.broadcast(cal), on, "left")
+    """Attributes of a day. The planner broadcasts the calendar while its measured size allows it."""
+    return fact.join(cal, on, "left")
 
 
 def join_prices(fact: DataFrame, prices: DataFrame, on: Sequence[str], quantity: str, price: str, name: str) -> DataFrame:

@@ -87,17 +87,19 @@ def pooled_forecast(
     histories: DataFrame, series: Sequence[str], hist: str, h: int, season: int, mode: str = "global",
     fold: Sequence[str] = (), n_lags: int = 3,
 ) -> DataFrame:
-    """Adds `pred` (array of h). mode "level" fits every level alone, "global" fits all levels at once."""
+    """Adds `pred` (array of h). `series` is level_id, the keys and possibly the fold. mode "level" fits every level alone, "global" fits all levels at once."""
     if mode not in ("level", "global"):
         raise ValueError(f"unknown training mode {mode!r}; use 'level' or 'global'")
     lags = sorted({*range(1, n_lags + 1), season})
     by = [*fold, *(["level_id"] if mode == "level" else [])]
     n = len(lags) + 1
     coefs = solve(gram(lag_features(histories, by, hist, lags), by, n), by, n)
+    on = [*fold, "level_id"]
+    if mode == "global":  # the same coefficients for every level
+        top = (1 << (len(series) - 1 - len([c for c in fold if c in series]))) - 1
+        coefs = coefs.select(*fold, F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level_id"), "coef")
     # one row per fold and level: at most folds x 2^keys
-    both = histories.alias("h").join(F.broadcast(coefs.alias("c")), null_safe_on(by, "h", "c"), "left") if by else (
-        histories.alias("h").withColumn("coef", coefs.select("coef").scalar())
-    )
+    both = histories.alias("h").join(F.broadcast(coefs.alias("c")), null_safe_on(on, "h", "c"), "left")
     return both.select(
         "h.*", roll_forward(F.col(f"h.{hist}"), F.col("coef"), lags, h).cast(f"array<{PRED_TYPE}>").alias("pred")
     )

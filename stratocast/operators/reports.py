@@ -235,7 +235,7 @@ def drop_constant_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 # The report settings of the published tables.
 TABLES = {
     "table_7": (pivot_model_metrics, dict(metric="MASE", time_limit=600, add_to_col_values="forecast_method")),
-    "table_8": (rank_models, dict(metric="MASE", forecast_model="AutoGluon", grouping_variable="forecast_method", time_limit=600)),
+    "table_8": (rank_models, dict(metric="MASE", forecast_model="Leaderboard", grouping_variable="forecast_method", time_limit=600)),
     "table_9": (
         rank_models,
         dict(metric="MASE", forecast_method="global", grouping_variable="forecast_model", time_limit=1800,
@@ -249,22 +249,22 @@ TABLES = {
     "table_13": (
         pivot_model_metrics,
         dict(metric="MASE", row_values="dataset", column_values="method", forecast_method="level",
-             forecast_model="AutoGluon", time_limit=600),
+             forecast_model="Leaderboard", time_limit=600),
     ),
     "table_14": (
         pivot_model_metrics,
         dict(metric="MASE", row_values="dataset", column_values="method", forecast_method="global",
-             forecast_model="AutoGluon", time_limit=600),
+             forecast_model="Leaderboard", time_limit=600),
     ),
     "table_15": (
         metrics_by_group,
-        dict(metrics=("MASE", "RMSSE", "SMAPE", "WAPE"), forecast_model="AutoGluon", time_limit=600,
+        dict(metrics=("MASE", "RMSSE", "SMAPE", "WAPE"), forecast_model="Leaderboard", time_limit=600,
              columns_to_remove=("AutoARIMA", "AutoETS"), remove_constant=True),
     ),
     "table_16": (
         pivot_model_metrics,
         dict(metric="MASE", row_values="dataset", column_values="method", forecast_method="global",
-             forecast_model="AutoGluon", time_limit=1800),
+             forecast_model="Leaderboard", time_limit=1800),
     ),
     "table_17": (
         metrics_by_group,

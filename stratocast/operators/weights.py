@@ -123,7 +123,7 @@ def best_single_level(cands: DataFrame, by: Sequence[str], n_keys: int) -> DataF
 
 def equal_weights(forecasts: DataFrame, by: Sequence[str]) -> DataFrame:
     """The same weight for every level that has forecasts."""
-    levels = forecasts.groupBy(*by, "level_id").agg()
+    levels = forecasts.select(*by, "level_id").distinct()
     return levels.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy(*by)))
 
 
