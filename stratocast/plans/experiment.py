@@ -6,6 +6,7 @@ recomputes an earlier one and a rerun starts where the last one stopped.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -212,7 +213,10 @@ def fitted_experiments(rows: DataFrame, exp: Sequence[str]) -> DataFrame:
     return rows.select(*exp).distinct()
 
 
-def evaluate(results: DataFrame, spec: PanelSpec, cfg: Settings, dataset: str, private: Sequence[str] = ()) -> DataFrame:
+def evaluate(
+    results: DataFrame, spec: PanelSpec, cfg: Settings, dataset: str, private: Sequence[str] = (),
+    elapsed: float | None = None,
+) -> DataFrame:
     top = results.filter(F.col("level_id") == spec.top_level).withColumns(
         {"dataset": F.lit(dataset), "time_limit": F.lit(cfg.time_limit).cast("int")}
     )
@@ -220,19 +224,27 @@ def evaluate(results: DataFrame, spec: PanelSpec, cfg: Settings, dataset: str, p
     # a null budget must not be lost in equi joins
     top = top.withColumn("time_limit", F.coalesce("time_limit", F.lit(-1)))
     out = metrics.metrics_table(top, by, cfg.test_period, cfg.future_periods, private)
-    return out.withColumn("time_limit", F.nullif(F.col("time_limit"), F.lit(-1)))
+    return out.withColumns(
+        {"time_limit": F.nullif(F.col("time_limit"), F.lit(-1)), "elapsed_time": F.lit(elapsed).cast("double")}
+    )
 
 
 def run_experiment(
     raw: DataFrame, spec: PanelSpec, cfg: Settings, balanced: bool | None = None,
     store: ArtifactStore | None = None, rerun: bool = False,
 ) -> dict[str, DataFrame]:
-    """All tables of one dataset. Without a store the stages stay one lazy plan (fit for small panels)."""
+    """All tables of one dataset. Without a store the stages stay one lazy plan (fit for small panels).
+    The elapsed time of an experiment is that of back-test, weights and forecasts, shared by all
+    experiments of the run since they are one set of jobs."""
+    seconds = {}
 
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if store is None:
             return make()
-        return store.reuse(f"{spec.name}/{name}", make, rerun)
+        start = time.monotonic()
+        out = store.reuse(f"{spec.name}/{name}", make, rerun)
+        seconds[name] = time.monotonic() - start
+        return out
 
     levels = stage("levels", lambda: build_levels(raw, spec, cfg))
     if balanced is None:
@@ -243,7 +255,8 @@ def run_experiment(
     fc = stage("forecasts", lambda: forecast(arrays, spec, cfg))
     combined = stage("combined", lambda: combine(fc, best_weight_sets(fitted, folds), spec, balanced))
     results = stage("results", lambda: results_table(combined, levels, spec, cfg.optim_methods))
-    scores = stage("metrics", lambda: evaluate(results, spec, cfg, spec.name))
+    elapsed = sum(seconds[n] for n in ("fold_forecasts", "weights", "forecasts")) if seconds else None
+    scores = stage("metrics", lambda: evaluate(results, spec, cfg, spec.name, elapsed=elapsed))
     return {
         "levels": levels, "fold_forecasts": folds, "weights": fitted, "forecasts": fc,
         "combined": combined, "results": results, "metrics": scores,
