@@ -63,8 +63,7 @@ def mint_balanced(forecasts: DataFrame, keys: Sequence[str], by: Sequence[str],
 def _to_leaves(state: DataFrame, nodes: DataFrame, keys, by, carry) -> DataFrame:
     """For every leaf row the sum of the node values above it, with `carry` columns kept."""
     n = len(keys)
-    masks = F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1)))
-    wide = state.withColumn("level_id", masks.cast("int"))
+    wide = state.withColumn("level_id", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))))
     ident = [*by, "ds"]
     up = wide.select(
         *ident, "level_id", *carry, *[F.col(k).alias(f"_leaf_{k}") for k in keys],
