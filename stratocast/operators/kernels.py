@@ -217,14 +217,15 @@ def auto_arima(y: np.ndarray, h: int, m: int, max_p: int = 2, max_q: int = 2) ->
     """Bounded order grid. Differencing is chosen first (smallest spread), ARMA orders by AICc."""
     s, n = y.shape
     options = [(0, 0), (1, 0)] + ([(0, 1), (1, 1)] if m > 1 and n >= 3 * m else [])
+    shortest = n - max(d + sd * m for d, sd in options)
+    if shortest < 12:
+        return np.repeat(y[:, -1:], h, axis=1)
     spread, diffs = [], []
     for d, sd in options:
         w = y[:, m:] - y[:, :-m] if sd else y
         w = np.diff(w, axis=1) if d else w
         diffs.append(w)
         spread.append(w.std(axis=1) * (1.05 ** (d + sd)))
-    if min(w.shape[1] for w in diffs) < 12:
-        return np.repeat(y[:, -1:], h, axis=1)
     choice = np.stack(spread).argmin(axis=0)
     out = np.zeros((s, h))
     for c in np.unique(choice):
