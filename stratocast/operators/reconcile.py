@@ -76,56 +76,59 @@ def _to_leaves(state: DataFrame, nodes: DataFrame, keys, by, carry) -> DataFrame
 
 def mint_cg(
     forecasts: DataFrame, keys: Sequence[str], by: Sequence[str], method: str = "ols",
-    tol: float = 1e-12, max_iter: int = 200,
+    tol: float = 1e-9, max_iter: int = 100,
 ) -> DataFrame:
     """Any hierarchy, nested or incomplete. All horizons and experiments are solved side by side; each
-    stops moving when its own residual is small. State is checkpointed once per iteration."""
+    stops moving when its own residual is small. The state is written once per iteration, and one
+    aggregation of it gives every scalar of the step. The number of iterations depends on the number of
+    keys, not on the number of nodes."""
     struct = _structural(method)
     ident = [*by, "ds"]
-    leaves = forecasts.filter("level_id = 0").select(*ident, *keys).withColumn("n", F.lit(1).cast("bigint"))
+    forecasts = cut_lineage(forecasts.select(*ident, "level_id", *keys, F.col("pred").cast("double").alias("v")))
+    leaves = forecasts.filter("level_id = 0").select(*ident, *keys)
 
     def weigh(df):  # W^-1 times a node value
         return df.withColumn("v", F.col("v") / F.col("n") if struct else F.col("v"))
 
-    counts = cube_levels(leaves, keys, by=ident, measures=["n"])
-    y = forecasts.select(*ident, "level_id", *keys, F.col("pred").cast("double").alias("v"))
-    y = counts.alias("c").join(y.alias("y"), null_safe_on([*ident, "level_id", *keys], "c", "y")).select(
+    def up(df, value):  # sums and numbers of leaves per node
+        df = df.select(*ident, *keys, F.col(value).alias("v"), F.lit(1).cast("bigint").alias("n"))
+        return cube_levels(df, keys, by=ident, measures=["v", "n"])
+
+    counts = up(leaves.withColumn("one", F.lit(1.0)), "one").drop("v")
+    y = counts.alias("c").join(forecasts.alias("y"), null_safe_on([*ident, "level_id", *keys], "c", "y")).select(
         *[F.col(f"c.{c}").alias(c) for c in [*ident, "level_id", *keys, "n"]], "y.v"
     )
-    rhs = _to_leaves(leaves.drop("n"), weigh(y), keys, by, [])
-    state = rhs.select(*ident, *keys, F.lit(0.0).alias("x"), F.col("q").alias("r"), F.col("q").alias("p"))
-    rho = state.groupBy(*ident).agg(F.sum(F.col("r") * F.col("r")).alias("rho"))
-    state = _with(state, rho, ident).withColumn("rho0", F.col("rho"))
+    rhs = _to_leaves(leaves, weigh(y), keys, by, [])
+    state = cut_lineage(
+        rhs.select(*ident, *keys, F.lit(0.0).alias("x"), F.col("q").alias("r"), F.col("q").alias("p"))
+    )
+    first = state.groupBy(*ident).agg(F.sum(F.col("r") * F.col("r")).alias("rho0"))
+    state = _with(state, first, ident)
     for _ in range(max_iter):
-        nodes = cube_levels(
-            state.withColumn("n", F.lit(1).cast("bigint")), keys, by=ident, measures=["p", "n"]
-        ).withColumnRenamed("p", "v")
-        state = cut_lineage(_to_leaves(state, weigh(nodes), keys, by, ["x", "r", "p", "rho", "rho0"]))
-        step = state.groupBy(*ident).agg(F.sum(F.col("p") * F.col("q")).alias("pq"), F.max("rho").alias("_r"))
-        alpha = F.when(F.col("pq") > 0, F.col("_r") / F.col("pq")).otherwise(0.0)
-        state = _with(state, step.select(*ident, alpha.alias("alpha")), ident)
-        state = state.select(
-            *ident, *keys, "rho", "rho0", "p",
-            (F.col("x") + F.col("alpha") * F.col("p")).alias("x"),
-            (F.col("r") - F.col("alpha") * F.col("q")).alias("r"),
+        nodes = up(state, "p")
+        state = cut_lineage(_to_leaves(state, weigh(nodes), keys, by, ["x", "r", "p", "rho0"]))
+        dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+        s = state.groupBy(*ident).agg(
+            dot("p", "q").alias("pq"), dot("r", "r").alias("rr"), dot("r", "q").alias("rq"), dot("q", "q").alias("qq"),
+            F.max("rho0").alias("rho0"),
         )
-        left = state.groupBy(*ident).agg(
-            F.sum(F.col("r") * F.col("r")).alias("rho1"), F.max("rho").alias("_r"), F.max("rho0").alias("_r0")
+        # systems that are solved have p = 0 and stand still
+        s = s.withColumn("alpha", F.when(F.col("pq") > 0, F.col("rr") / F.col("pq")).otherwise(0.0))
+        rho = F.col("rr") - 2 * F.col("alpha") * F.col("rq") + F.col("alpha") * F.col("alpha") * F.col("qq")
+        s = s.withColumn("rho", F.greatest(rho, F.lit(0.0)))
+        done = F.col("rho") <= tol * tol * F.col("rho0")
+        s = s.withColumn("beta", F.when(done, None).otherwise(F.try_divide(F.col("rho"), F.col("rr"))))
+        r = F.col("r") - F.col("alpha") * F.col("q")
+        state = _with(state, s.select(*ident, "alpha", "beta"), ident).select(
+            *ident, *keys, "rho0", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"), r.alias("r"),
+            F.when(F.col("beta").isNull(), 0.0).otherwise(r + F.col("beta") * F.col("p")).alias("p"),
         )
-        worst = left.agg(F.max(F.try_divide(F.col("rho1"), F.col("_r0")))).first()[0]
-        if worst is None or worst <= tol * tol:
+        if not s.filter(F.col("beta").isNotNull()).limit(1).count():
             break
-        done = F.col("rho1") <= tol * tol * F.col("_r0")
-        beta = F.when(done, 0.0).otherwise(F.try_divide(F.col("rho1"), F.col("_r")))
-        state = _with(state, left.select(*ident, "rho1", beta.alias("beta"), done.alias("done")), ident)
-        state = state.select(
-            *ident, *keys, "x", "r", "rho0", F.col("rho1").alias("rho"),
-            F.when(F.col("done"), 0.0).otherwise(F.col("r") + F.col("beta") * F.col("p")).alias("p"),
-        )
     else:
         raise RuntimeError(f"reconciliation did not converge in {max_iter} iterations")
-    return cube_levels(state.withColumnRenamed("x", "pred"), keys, by=ident, measures=["pred"]).select(
-        *by, "level_id", *keys, "ds", "pred"
+    return cube_levels(state, keys, by=ident, measures=["x"]).select(
+        *by, "level_id", *keys, "ds", F.col("x").alias("pred")
     )
 
 

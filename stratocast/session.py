@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written to a table in the shared folder and read back. Unlike a local checkpoint it survives
+    the loss of executors; unlike any checkpoint it does not carry the old plan's constraints, which grow
+    with every step of an iteration."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stratocast-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

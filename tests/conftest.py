@@ -11,4 +11,4 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from compare import session
 
-    return session(4)
+    return session(8, 4)
