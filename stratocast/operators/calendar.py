@@ -45,9 +45,12 @@ def fill_gaps(
 
     Each row brings the gap before it and the last row also the tail: one window over the series, no grid
     and no join. Rows off the calendar stay. Columns in `copy` take the value of the series' last row.
-    `bounds` (one row: lo, hi) saves a pass where the range is known from cheaper data.
+    `bounds` (one row: lo, hi) replaces the panel's own range. Asking for the values along with the dates
+    keeps the range subquery's plan equal to the panel's, so both read the same shuffle.
     """
-    bounds = date_bounds(panel) if bounds is None else bounds
+    if bounds is None:
+        bounds = panel.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"), F.count("y").alias("n"))
+        bounds = bounds.filter("n >= 0")
     span = bounds.select(F.struct("lo", "hi")).scalar()
     y_type = panel.schema["y"].dataType
     series = Window.partitionBy(*keys).orderBy("ds")
@@ -117,7 +120,7 @@ def prepare_panel(
     raw = drop_null_keys(cutoff(raw, cutoff_date), keys)
     panel = leaf_sum(raw, keys)
     if fill_missing:
-        panel = zero_fill(fill_gaps(panel, keys, freq, date_bounds(raw)))
+        panel = zero_fill(fill_gaps(panel, keys, freq))
     if not with_id:
         return panel
     return attach_series_id(panel, keys, dim=raw).select("ts_id", "ds", "y", *keys)

@@ -263,13 +263,36 @@ def create_forecasts(
 
     With test_period 0 the whole history is training data and all actuals are null.
     """
-    held = hold_out(arrays, series, test_period) if test_period else arrays
-    pred = forecast_horizon(held.select(*series, "ds", "y"), series, models, h, freq, season, train_end)
-    if not test_period:
-        return pred.withColumn("y", F.lit(None).cast(_element(arrays))).select("model", *series, "ds", "y", "pred")
-    actual = held.select(*series, F.inline(F.arrays_zip(F.col("ds_test").alias("ds"), F.col("y_test").alias("y"))))
-    per_model = actual.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), *series, "ds", "y")
-    return merge_forecast_actuals(pred, per_model, ["model", *series, "ds"])
+    el = _element(arrays)
+    none = lambda t: F.array().cast(f"array<{t}>")
+    if test_period:
+        held = hold_out(arrays, series, test_period)
+    else:
+        held = arrays.select(
+            *series, "ds", "y", none("date").alias("ds_test"), none(el.simpleString()).alias("y_test")
+        )
+    if train_end is not None:
+        n = F.size(F.filter("ds", lambda d: d <= F.lit(train_end).cast("date")))
+        held = held.withColumns({"y": F.slice("y", 1, n), "ds": F.slice("ds", 1, n)})
+    held = held.filter(F.size("ds") > 0)
+    last = period_index(F.try_element_at("ds", F.lit(-1)), freq)
+    ahead = F.transform(_steps(h), lambda s: period_end(last + s, freq))
+    f = held.select(*series, F.col("y").alias("hist"), ahead.alias("ds_h"), "ds_test", "y_test")
+    f = f.select(*series, "ds_h", "ds_test", "y_test", *_preds(models, F.col("hist"), h, season, el))
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_m{i}").alias("p")) for i, m in enumerate(models)])
+    f = f.select(*series, "ds_h", "ds_test", "y_test", F.inline(per_model))
+    # forecast and actual dates meet inside the row: no join
+    f = f.select(
+        "model", *series, F.array_union("ds_h", "ds_test").alias("_d"),
+        F.map_from_arrays("ds_test", "y_test").alias("_y"), F.map_from_arrays("ds_h", "p").alias("_p"),
+    )
+    rows = F.transform(
+        "_d",
+        lambda d: F.struct(
+            d.alias("ds"), F.try_element_at("_y", d).alias("y"), F.try_element_at("_p", d).alias("pred")
+        ),
+    )
+    return f.select("model", *series, F.inline(rows))
 
 
 def merge_forecast_actuals(forecast: DataFrame, actual: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -147,17 +147,16 @@ def fit(fold_forecasts: DataFrame, spec: PanelSpec, cfg: Settings) -> DataFrame:
     by = ["model", "forecast_method"]
     cands = weights.candidates(models.fold_totals(fold_forecasts, by), by, len(spec.keys))
     cands = weights.include_levels(cands, spec.keys, cfg.include_groups)
-    out = []
-    for prune in cfg.remove_groups:
-        c = cands
-        if prune:
-            kept = weights.prune_weak_levels(cands, by, len(spec.keys))
-            c = cands.join(kept.select(*by, "level_id"), [*by, "level_id"], "left_semi")
-        w = weights.fit_weights(
-            c, by, len(spec.keys), cfg.optim_methods, cfg.hillclimb_sets, cfg.max_iterations
-        )
-        out.append(w.withColumn("remove_groups", F.lit(prune)))
-    return _union(out)
+    prune = F.explode(F.array(*[F.lit(p) for p in cfg.remove_groups])).alias("remove_groups")
+    if any(cfg.remove_groups):
+        kept = weights.prune_weak_levels(cands, by, len(spec.keys)).select(*by, "level_id", F.lit(True).alias("kept"))
+        cands = cands.join(kept, [*by, "level_id"], "left").select("*", prune)
+        cands = cands.filter(~F.col("remove_groups") | F.col("kept")).drop("kept")
+    else:
+        cands = cands.select("*", prune)
+    return weights.fit_weights(
+        cands, [*by, "remove_groups"], len(spec.keys), cfg.optim_methods, cfg.hillclimb_sets, cfg.max_iterations
+    )
 
 
 def best_weight_sets(fitted: DataFrame, fold_forecasts: DataFrame) -> DataFrame:

@@ -496,12 +496,14 @@ TOP = f"""{ALL}, top AS (SELECT l.ds, m.model, l.y, f.pred AS base, b.pred AS "B
 
 def top_results(spark, sf_dir, names=BASELINES):
     """Whole history of the top series with base and bottom-up forecasts of every model."""
-    fc = forecasts(spark, sf_dir, names)
-    tops = fc.filter("level_id = 7").select("model", "ds", "pred")
-    bottom = fc.filter("level_id = 0").groupBy("model", "ds").agg(F.sum("pred").alias("pred"))
-    runs = F.explode(F.array(*[F.lit(m) for m in names])).alias("model")
-    actual = crossed_levels(spark, sf_dir).filter("level_id = 7").select(runs, "ds", "y")
-    return joins.merge_methods({"y": actual, "base": tops, "BottomUp": bottom}, ["model", "ds"])
+    fc = forecasts(spark, sf_dir, names).filter("level_id in (0, 7)")
+    level = F.col("level_id")
+    both = fc.groupBy("model", "ds").agg(
+        F.max(F.when(level == 7, F.col("pred"))).alias("base"), F.sum(F.when(level == 0, F.col("pred"))).alias("BottomUp")
+    )
+    actual = crossed_levels(spark, sf_dir).filter("level_id = 7").select("ds", "y")
+    runs = actual.select(F.explode(F.array(*[F.lit(m) for m in names])).alias("model"), "ds", "y")
+    return runs.join(both, ["model", "ds"], "left")
 
 
 @query("join_weighted_reconciled", f'{TOP} SELECT model, ds, CAST(y AS DOUBLE) AS y, CAST(base AS DOUBLE) AS base, CAST("BottomUp" AS DOUBLE) AS "BottomUp" FROM top')

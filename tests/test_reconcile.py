@@ -65,6 +65,13 @@ def test_nested_and_incomplete(spark, method):
     np.testing.assert_allclose(values(out, keys, nodes, D), dense(s, yhat[D], method), atol=1e-5)
 
 
+def test_large_keys_are_joined_not_windowed(spark):
+    keys = ["a", "b", "c"]
+    df, nodes, s, yhat = frame(spark, CROSSED, keys)
+    out = reconcile.mint_balanced(df, keys, ["model"], "ols", max_group=3).collect()
+    np.testing.assert_allclose(values(out, keys, nodes, D), dense(s, yhat[D], "ols"), atol=1e-6)
+
+
 def test_coherent_input_is_a_fixed_point(spark):
     keys = ["a", "b", "c"]
     nodes, s = nodes_of(CROSSED, 3)
