@@ -198,23 +198,28 @@ def _element(arrays: DataFrame) -> T.DataType:
     return arrays.schema["y"].dataType.elementType
 
 
-def backtest_levels(
-    arrays: DataFrame, series: Sequence[str], folds: DataFrame, models: Sequence[str], fold_length: int, season: int
-) -> DataFrame:
-    """Out-of-fold predictions of every model for every series: model, fold, series, ds, y, pred."""
-    el = _element(arrays)
+def fold_histories(arrays: DataFrame, series: Sequence[str], folds: DataFrame) -> DataFrame:
+    """One row per series and fold: `hist` up to the cutoff, `ds` and `y` of the test part. Dates are sorted,
+    so both are slices; the folds are a handful of rows and ride along as an array."""
     spans = folds.agg(F.collect_list(F.struct("fold", "cutoff_ds", "test_to")).alias("f")).select("f").scalar()
     f = arrays.withColumn("_folds", spans).select(*series, "ds", "y", F.inline("_folds"))
-    # dates are sorted: the history is a prefix, the test part follows it
     f = f.withColumn("_n", F.size(F.filter("ds", lambda d: d <= F.col("cutoff_ds"))))
     f = f.withColumn("_t", F.size(F.filter("ds", lambda d: d <= F.col("test_to"))) - F.col("_n"))
-    f = f.filter("_n > 0 and _t > 0").select(
+    return f.filter("_n > 0 and _t > 0").select(
         *series,
         "fold",
         F.slice("y", 1, F.col("_n")).alias("hist"),
         F.slice("ds", F.col("_n") + 1, F.col("_t")).alias("ds"),
         F.slice("y", F.col("_n") + 1, F.col("_t")).alias("y"),
     )
+
+
+def backtest_levels(
+    arrays: DataFrame, series: Sequence[str], folds: DataFrame, models: Sequence[str], fold_length: int, season: int
+) -> DataFrame:
+    """Out-of-fold predictions of every model for every series: model, fold, series, ds, y, pred."""
+    el = _element(arrays)
+    f = fold_histories(arrays, series, folds)
     f = f.select(*series, "fold", "ds", "y", *_preds(models, F.col("hist"), fold_length, season, el))
     return _explode_models(f, [*series, "fold"], models, ["ds", "y"])
 

@@ -172,6 +172,8 @@ def reconcile_all(
 ) -> DataFrame:
     """All methods for every experiment, stacked: by, method, level_id, keys, ds, pred."""
     mint = mint_balanced if balanced else mint_cg
+    if len(methods) > 1:
+        forecasts = cut_lineage(forecasts.select(*by, "level_id", *keys, "ds", "pred"))
     out = None
     for m in methods:
         if m == "BottomUp":

@@ -18,6 +18,7 @@ from stratocast.operators import joins, metrics, models, pooled, reconcile, weig
 from stratocast.operators.calendar import prepare_panel
 from stratocast.operators.hierarchy import cube_levels
 from stratocast.operators.optimisers import METHODS
+from stratocast.session import cut_lineage
 from stratocast.sources.store import ArtifactStore
 from stratocast.spec import PanelSpec
 
@@ -54,30 +55,44 @@ def build_levels(raw: DataFrame, spec: PanelSpec, cfg: Settings) -> DataFrame:
     return cube_levels(panel, spec.keys)
 
 
-def backtest(arrays: DataFrame, spec: PanelSpec, cfg: Settings, methods: Sequence[str] | None = None) -> DataFrame:
-    """Fold predictions of all requested models: model, forecast_method, fold, series, ds, y, pred."""
-    series = series_cols(spec)
+def _folds(arrays: DataFrame, spec: PanelSpec, cfg: Settings) -> DataFrame:
     top = arrays.filter(F.col("level_id") == spec.top_level).select(F.explode("ds").alias("ds"))
-    skip = cfg.test_period if cfg.use_test_data else 0
-    folds = fo.fold_table(top, cfg.fold_length, skip_last=skip)
+    return fo.fold_table(top, cfg.fold_length, skip_last=cfg.test_period if cfg.use_test_data else 0)
+
+
+def pool_backtest(arrays: DataFrame, spec: PanelSpec, cfg: Settings) -> DataFrame:
+    """Fold predictions of the models that the leaderboard chooses from."""
+    folds = _folds(arrays, spec, cfg)
+    return models.backtest_levels(arrays, series_cols(spec), folds, list(cfg.pool), cfg.fold_length, spec.season)
+
+
+def _leaders(pool: DataFrame, forecasts: DataFrame, way: str) -> DataFrame:
+    """`forecasts` of the model with the lowest validation error, of each level or of all levels together."""
+    by = ["level_id"] if way == "level" else []
+    best = models.best_model(models.leaderboard(pool, by), by)
+    return models.choose_forecasts(forecasts, best, by, LEADERBOARD).withColumn("forecast_method", F.lit(way))
+
+
+def backtest(arrays: DataFrame, spec: PanelSpec, cfg: Settings, pool: DataFrame | None = None) -> DataFrame:
+    """Fold predictions of all requested models: model, forecast_method, fold, series, ds, y, pred.
+    `pool` is the stored pool_backtest, where there is one."""
+    series = series_cols(spec)
+    folds = _folds(arrays, spec, cfg)
     out = []
     plain = [m for m in cfg.models if m not in (POOLED, LEADERBOARD)]
     if plain:
         bt = models.backtest_levels(arrays, series, folds, plain, cfg.fold_length, spec.season)
         out += [bt.withColumn("forecast_method", F.lit(w)) for w in _ways(cfg, plain)]
     if POOLED in cfg.models:
-        hist = _fold_histories(arrays, series, folds)
+        hist = models.fold_histories(arrays, series, folds)
         for way in cfg.forecast_methods:
             p = pooled.pooled_forecast(hist, [*series, "fold"], "hist", cfg.fold_length, spec.season, way, ["fold"])
             zipped = F.arrays_zip("ds", "y", F.slice("pred", 1, F.size("ds")).alias("pred"))
             p = p.select(F.lit(POOLED).alias("model"), *series, "fold", F.inline(zipped))
             out.append(p.withColumn("forecast_method", F.lit(way)))
     if LEADERBOARD in cfg.models:
-        pool = models.backtest_levels(arrays, series, folds, list(cfg.pool), cfg.fold_length, spec.season)
-        for way in cfg.forecast_methods:
-            by = ["level_id"] if way == "level" else []
-            best = models.best_model(models.leaderboard(pool, by), by)
-            out.append(models.choose_forecasts(pool, best, by, LEADERBOARD).withColumn("forecast_method", F.lit(way)))
+        pool = pool_backtest(arrays, spec, cfg) if pool is None else pool
+        out += [_leaders(pool, pool, way) for way in cfg.forecast_methods]
     cols = ["model", "forecast_method", "fold", *series, "ds", "y", "pred"]
     return _union([d.select(*cols) for d in out])
 
@@ -87,19 +102,7 @@ def _ways(cfg: Settings, plain: Sequence[str]) -> list[str]:
     return ["global"] if "global" in cfg.forecast_methods else ["level"]
 
 
-def _fold_histories(arrays: DataFrame, series: Sequence[str], folds: DataFrame) -> DataFrame:
-    spans = folds.agg(F.collect_list(F.struct("fold", "cutoff_ds", "test_to")).alias("f")).select("f").scalar()
-    f = arrays.withColumn("_folds", spans).select(*series, "ds", "y", F.inline("_folds"))
-    n = F.size(F.filter("ds", lambda d: d <= F.col("cutoff_ds")))
-    t = F.size(F.filter("ds", lambda d: d <= F.col("test_to")))
-    f = f.withColumn("_n", n).withColumn("_t", t - F.col("_n")).filter("_n > 0 and _t > 0")
-    return f.select(
-        *series, "fold", F.slice("y", 1, F.col("_n")).alias("hist"),
-        F.slice("ds", F.col("_n") + 1, F.col("_t")).alias("ds"), F.slice("y", F.col("_n") + 1, F.col("_t")).alias("y"),
-    )
-
-
-def forecast(arrays: DataFrame, spec: PanelSpec, cfg: Settings, fold_forecasts: DataFrame | None = None) -> DataFrame:
+def forecast(arrays: DataFrame, spec: PanelSpec, cfg: Settings, pool: DataFrame | None = None) -> DataFrame:
     """Horizon forecasts of all requested models: model, forecast_method, series, ds, pred."""
     series = series_cols(spec)
     held = models.hold_out(arrays, series, cfg.test_period).select(*series, "ds", "y") if cfg.use_test_data else arrays
@@ -123,14 +126,8 @@ def forecast(arrays: DataFrame, spec: PanelSpec, cfg: Settings, fold_forecasts:
             out.append(p.withColumn("forecast_method", F.lit(way)))
     if LEADERBOARD in cfg.models:
         f = run(list(cfg.pool))
-        skip = cfg.test_period if cfg.use_test_data else 0
-        top = arrays.filter(F.col("level_id") == spec.top_level).select(F.explode("ds").alias("ds"))
-        folds = fo.fold_table(top, cfg.fold_length, skip_last=skip)
-        pool = models.backtest_levels(arrays, series, folds, list(cfg.pool), cfg.fold_length, spec.season)
-        for way in cfg.forecast_methods:
-            by = ["level_id"] if way == "level" else []
-            best = models.best_model(models.leaderboard(pool, by), by)
-            out.append(models.choose_forecasts(f, best, by, LEADERBOARD).withColumn("forecast_method", F.lit(way)))
+        pool = pool_backtest(arrays, spec, cfg) if pool is None else pool
+        out += [_leaders(pool, f, way) for way in cfg.forecast_methods]
     cols = ["model", "forecast_method", *series, "ds", "pred"]
     return _union([d.select(*cols) for d in out])
 
@@ -145,7 +142,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def fit(fold_forecasts: DataFrame, spec: PanelSpec, cfg: Settings) -> DataFrame:
     """model, forecast_method, optim_method, remove_groups, level_id, weight."""
     by = ["model", "forecast_method"]
-    cands = weights.candidates(models.fold_totals(fold_forecasts, by), by, len(spec.keys))
+    totals = cut_lineage(models.fold_totals(fold_forecasts, by))  # small, and read more than once
+    cands = weights.candidates(totals, by, len(spec.keys))
     cands = weights.include_levels(cands, spec.keys, cfg.include_groups)
     prune = F.explode(F.array(*[F.lit(p) for p in cfg.remove_groups])).alias("remove_groups")
     if any(cfg.remove_groups):
@@ -249,12 +247,14 @@ def run_experiment(
     if balanced is None:
         balanced = reconcile.is_balanced(levels.filter("level_id = 0"), spec.keys)
     arrays = stage("series", lambda: models.series_arrays(levels, series_cols(spec)))
-    folds = stage("fold_forecasts", lambda: backtest(arrays, spec, cfg))
+    pool = stage("pool_backtest", lambda: pool_backtest(arrays, spec, cfg)) if LEADERBOARD in cfg.models else None
+    folds = stage("fold_forecasts", lambda: backtest(arrays, spec, cfg, pool))
     fitted = stage("weights", lambda: fit(folds, spec, cfg))
-    fc = stage("forecasts", lambda: forecast(arrays, spec, cfg))
+    fc = stage("forecasts", lambda: forecast(arrays, spec, cfg, pool))
     combined = stage("combined", lambda: combine(fc, best_weight_sets(fitted, folds), spec, balanced))
     results = stage("results", lambda: results_table(combined, levels, spec, cfg.optim_methods))
-    elapsed = sum(seconds[n] for n in ("fold_forecasts", "weights", "forecasts")) if seconds else None
+    timed = ("pool_backtest", "fold_forecasts", "weights", "forecasts")
+    elapsed = sum(seconds.get(n, 0.0) for n in timed) if seconds else None
     scores = stage("metrics", lambda: evaluate(results, spec, cfg, spec.name, elapsed=elapsed))
     return {
         "levels": levels, "fold_forecasts": folds, "weights": fitted, "forecasts": fc,

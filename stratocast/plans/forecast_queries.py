@@ -259,9 +259,6 @@ def fitted(spark, sf_dir, method, n_sets=1):
     return weights.fit_weights(c, ["model"], N, [method], n_sets=n_sets, rounds=200)
 
 
-@query("w_ensemble_selection")
-def _(spark, sf_dir):
-    return fitted(spark, sf_dir, "ensemble_selection")
 
 
 @query("w_nnls")
@@ -289,6 +286,27 @@ def _(spark, sf_dir):
     return weights.best_single_level(c, ["model"], N)
 
 
+# greedy selection as a recursion: the state is the running sum per date, every round tries all levels
+GREEDY = """v AS (SELECT level_id, 3 - bit_count(level_id) AS d, list(CAST(pred AS DOUBLE) ORDER BY ds) AS p, list(CAST(y_top AS DOUBLE) ORDER BY ds) AS y FROM mc GROUP BY level_id),
+g AS (
+  SELECT 0 AS r, -1 AS pick, list_transform(any_value(y), lambda x: CAST(0 AS DOUBLE)) AS s FROM v
+  UNION ALL
+  SELECT b.r, b.o.level_id, b.o.s FROM (
+    SELECT g.r + 1 AS r, arg_min({'level_id': v.level_id, 's': list_transform(range(1, len(v.p) + 1), lambda i: g.s[i] + v.p[i])},
+      {'l': round(list_avg(list_transform(range(1, len(v.p) + 1), lambda i: abs(v.y[i] - (g.s[i] + v.p[i]) / (g.r + 1)))), 4), 'd': v.d, 'id': v.level_id}) AS o
+    FROM g, v WHERE g.r < 200 GROUP BY g.r) b)"""
+
+
+@query(
+    "w_ensemble_selection",
+    f"""{LOSS1.replace('WITH', 'WITH RECURSIVE', 1)}, {GREEDY}
+    SELECT 'Leaderboard' AS model, 'ensemble_selection' AS optim_method, pick AS level_id, count(*) / 200 AS weight FROM g WHERE r > 0 GROUP BY pick""",
+)
+def _(spark, sf_dir):
+    c = weights.candidates(models.fold_totals(level_choice(spark, sf_dir)), ["model"], N)
+    return weights.fit_weights(c, ["model"], N, ["ensemble_selection"], rounds=200)
+
+
 @query(
     "hillclimb_sets",
     f"""{BT}, {TOTALS}, r AS (SELECT *, dense_rank() OVER (PARTITION BY model ORDER BY ds) AS rk,
@@ -428,7 +446,7 @@ def _(spark, sf_dir):
 @query("fit_weights")
 def _(spark, sf_dir):
     """All optimisers, with and without pruning, for models that differ between levels."""
-    cfg = experiment.Settings(remove_groups=(False, True))
+    cfg = experiment.Settings(remove_groups=(False, True), max_iterations=200)
     bt = backtest(spark, sf_dir, ["SeasonalAverage", "Theta"]).withColumn("forecast_method", F.lit("global"))
     bt = bt.unionByName(level_choice(spark, sf_dir).withColumn("forecast_method", F.lit("level")))
     return experiment.fit(bt, inputs.CROSSED, cfg)
@@ -470,9 +488,17 @@ _mint_query("rec_ols", "ols")
 _mint_query("rec_wls_struct", "wls_struct")
 
 
-@query("reconcile_all")
+@query(
+    "reconcile_all",
+    f"""{MIX}, {ref.mint(KEYS, ['model'], 'ols', 'mixed', 'r_ols')}, {ref.mint(KEYS, ['model'], 'wls_struct', 'mixed', 'r_wls')},
+    r_bu AS (SELECT model, CAST(grouping({K}) AS INTEGER) AS level_id, {K}, ds, sum(pred) AS pred FROM mixed WHERE level_id = 0 GROUP BY model, ds, CUBE({K}))
+    SELECT 'MinTrace_method-ols' AS method, model, {S}, ds, round(pred, 3) + 0.0 AS pred FROM r_ols
+    UNION ALL SELECT 'MinTrace_method-wls_struct', model, {S}, ds, round(pred, 3) + 0.0 FROM r_wls
+    UNION ALL SELECT 'BottomUp', model, {S}, ds, round(CAST(pred AS DOUBLE), 3) + 0.0 FROM r_bu""",
+)
 def _(spark, sf_dir):
-    return reconcile.reconcile_all(forecasts(spark, sf_dir, ["SeasonalAverage", "Theta"]), KEYS, ["model"], True)
+    out = reconcile.reconcile_all(mixed_forecasts(spark, sf_dir), KEYS, ["model"], True)
+    return out.withColumn("pred", F.round(F.col("pred").cast("double"), 3) + 0.0)
 
 
 @query("rec_nested_cg")
