@@ -43,8 +43,8 @@ def decode_id(uid: Column, keys: Sequence[str]) -> list[Column]:
 
 
 def score_text(value: Column, digits: int = 4) -> Column:
-    """Fixed number of decimals; null stays null."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value.cast("double")))
+    """Fixed number of decimals, rounded from the exact binary value; null stays null."""
+    return F.translate(F.format_number(value.cast("double"), digits), ",", "")
 
 
 def elapsed_text(seconds: Column) -> Column:

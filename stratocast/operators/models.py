@@ -330,7 +330,7 @@ def best_model(board: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def simple_ensemble(board: DataFrame, forecasts: DataFrame, by: Sequence[str], top_n: int) -> DataFrame:
     """Mean of the forecasts of the top_n models of each group. A group has one row per model."""
     ranked = board.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("mae", "model"))), 1, top_n).alias("_r"))
-    chosen = ranked.select(*by, F.explode("_r.model").alias("model"))
+    chosen = _bounded(ranked.select(*by, F.explode("_r.model").alias("model")), by)
     cond = null_safe_on(by, "f", "c") & (F.col("f.model") == F.col("c.model"))
     keep = forecasts.alias("f").join(chosen.alias("c"), cond, "left_semi")
     cols = [c for c in forecasts.columns if c not in ("model", "pred", "y")]
@@ -347,8 +347,15 @@ def null_safe_on(cols: Sequence[str], left: str, right: str) -> Column:
     return cond
 
 
+def _bounded(choice: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A choice per level (or one for all) has at most models x levels rows and is broadcast, so forecasts are
+    not shuffled by a handful of models. A choice per series grows with the data and is left to the planner."""
+    return F.broadcast(choice) if set(by) <= {"level_id"} else choice
+
+
 def choose_forecasts(forecasts: DataFrame, best: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """Forecasts of the chosen model of each group, relabelled as one model."""
+    best = _bounded(best, by)
     if by:
         cond = null_safe_on([*by, "model"], "f", "b")
         out = forecasts.alias("f").join(best.alias("b"), cond, "left_semi")

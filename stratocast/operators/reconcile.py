@@ -151,8 +151,9 @@ def mint_cg(
 
 
 def _with(df: DataFrame, scalars: DataFrame, ident: Sequence[str]) -> DataFrame:
-    """Attach per-system scalars: one row per experiment and date."""
-    return df.alias("a").join(scalars.alias("b"), null_safe_on(ident, "a", "b")).select(
+    """Attach per-system scalars: one row per experiment and horizon date, whatever the number of leaves, so
+    they are broadcast and the leaves of a date stay spread out."""
+    return df.alias("a").join(F.broadcast(scalars.alias("b")), null_safe_on(ident, "a", "b")).select(
         "a.*", *[F.col(f"b.{c}") for c in scalars.columns if c not in ident]
     )
 

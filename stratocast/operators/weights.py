@@ -142,15 +142,15 @@ def apply_weights(
 ) -> DataFrame:
     """Weighted forecasts of every level made of keys that all weighted levels share.
 
-    `by` identifies a weight set, `match` (part of it) the forecasts it applies to. Weights are a few rows
-    per experiment: the join is on experiment and level, AQE broadcasts it while that is small.
+    `by` identifies a weight set, `match` (part of it) the forecasts it applies to. There is one row of
+    weights per experiment, however large the panel: it is broadcast, and forecasts stay where they are.
     """
     match = list(by) if match is None else list(match)
     sets = weights.groupBy(*by).agg(
         F.bit_or("level_id").alias("rolled"),
         F.map_from_entries(F.collect_list(F.struct("level_id", "weight"))).alias("w"),
     )
-    f = forecasts.alias("f").join(sets.alias("s"), null_safe_on(match, "f", "s"))
+    f = forecasts.alias("f").join(F.broadcast(sets.alias("s")), null_safe_on(match, "f", "s"))
     common = lambda k: has_key(F.col("rolled"), keys, k)
     usable = F.lit(True)
     for k in keys:

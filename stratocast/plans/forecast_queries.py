@@ -532,9 +532,36 @@ def top_results(spark, sf_dir, names=BASELINES):
     return runs.join(both, ["model", "ds"], "left")
 
 
-@query("join_weighted_reconciled", f'{TOP} SELECT model, ds, CAST(y AS DOUBLE) AS y, CAST(base AS DOUBLE) AS base, CAST("BottomUp" AS DOUBLE) AS "BottomUp" FROM top')
+ON = ["model", *SERIES, "ds"]
+
+
+@query(
+    "join_weighted_reconciled",
+    f"""{FCN}, w AS ({TWO_LEVELS}), p AS (SELECT fc.model, r_name, ds, sum(CAST(pred * weight AS DECIMAL(28,6))) AS pred
+      FROM fc JOIN w ON fc.model = w.model AND fc.level_id = w.level_id GROUP BY ALL),
+    wt AS (SELECT model, CASE WHEN grouping(r_name) = 0 THEN 3 ELSE 7 END AS level_id, r_name, ds, sum(pred) AS pred FROM p GROUP BY model, ds, CUBE(r_name)),
+    eq AS (SELECT model, ds, sum(CAST(pred * 0.125 AS DECIMAL(28,6))) AS pred FROM fc GROUP BY model, ds),
+    bu AS (SELECT model, CAST(grouping({K}) AS INTEGER) AS level_id, {K}, ds, sum(pred) AS pred FROM fc WHERE level_id = 0 GROUP BY model, ds, CUBE({K}))
+    SELECT m.model, {", ".join("l." + c for c in SERIES)}, l.ds, CAST(l.y AS DOUBLE) AS y, CAST(fc.pred AS DOUBLE) AS base, CAST(bu.pred AS DOUBLE) AS "BottomUp",
+      CAST(wt.pred AS DOUBLE) AS weighted_pred, CAST(eq.pred AS DOUBLE) AS equal_weights_pred
+    FROM levels l CROSS JOIN (SELECT DISTINCT model FROM fc) m
+    LEFT JOIN fc ON fc.model = m.model AND fc.ds = l.ds AND {ref.null_join('fc', 'l', SERIES)}
+    LEFT JOIN bu ON bu.model = m.model AND bu.ds = l.ds AND {ref.null_join('bu', 'l', SERIES)}
+    LEFT JOIN wt ON wt.model = m.model AND wt.ds = l.ds AND wt.level_id = l.level_id AND wt.r_name IS NOT DISTINCT FROM l.r_name
+    LEFT JOIN eq ON eq.model = m.model AND eq.ds = l.ds AND l.level_id = 7""",
+)
 def _(spark, sf_dir):
-    return top_results(spark, sf_dir)
+    """Actuals of the whole history with base, bottom-up, weighted and equal-weight forecasts of every node."""
+    fc = forecasts(spark, sf_dir, NAIVES)
+    runs = F.explode(F.array(*[F.lit(m) for m in NAIVES])).alias("model")
+    frames = {
+        "y": crossed_levels(spark, sf_dir).select(runs, *SERIES, "ds", "y"),
+        "base": fc.select(*ON, "pred"),
+        "BottomUp": reconcile.bottom_up(fc, KEYS, ["model"]),
+        "weighted_pred": weights.apply_weights(two_levels(fc), fc, KEYS, ["model"]),
+        "equal_weights_pred": weights.apply_weights(weights.equal_weights(fc, ["model"]), fc, KEYS, ["model"]),
+    }
+    return joins.merge_methods(frames, ON)
 
 
 @query(

@@ -84,15 +84,22 @@ def _(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
-@query("rank_with_ties_and_gaps", """SELECT c_custkey, c_mktsegment, value, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY c_mktsegment ORDER BY value NULLS LAST) END AS rank,
-      CASE WHEN value IS NOT NULL AND rank() OVER (PARTITION BY c_mktsegment ORDER BY value NULLS LAST) = 1
-        THEN 1.0 / count(*) FILTER (value = lo) OVER (PARTITION BY c_mktsegment) ELSE 0.0 END AS wins
-    FROM (SELECT *, min(value) OVER (PARTITION BY c_mktsegment) AS lo FROM (SELECT c_custkey, c_mktsegment, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 500) AS BIGINT) END AS value FROM customer))""")
+OWED = """SELECT c_mktsegment, n_name, CASE WHEN n % 5 > 0 THEN n END AS value FROM (
+      SELECT c_mktsegment, n_name, count(*) FILTER (c_acctbal < 0) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
+
+
+@query(
+    "rank_with_ties_and_gaps",
+    f"""WITH o AS ({OWED}), r AS (SELECT *, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY c_mktsegment ORDER BY value NULLS LAST) END AS rank FROM o)
+    SELECT *, CASE WHEN rank = 1 THEN 1.0 / count(*) FILTER (rank = 1) OVER (PARTITION BY c_mktsegment) ELSE 0.0 END AS wins FROM r""",
+)
 def _(spark, sf_dir):
-    """Coarse values make ties, negative balances missing scores."""
-    value = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 500)).alias("value")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", value)
-    return reports.split_wins(reports.rank_min(c, ["c_mktsegment"]), ["c_mktsegment"])
+    """Counts per segment and nation make ties, those divisible by five are missing. A group has one row per nation."""
+    places = inputs.customers(spark, sf_dir).select("c_custkey", "c_mktsegment", "n_name")
+    debts = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    n = debts.join(places, "c_custkey").groupBy("c_mktsegment", "n_name").agg(F.count_if(F.col("c_acctbal") < 0).alias("n"))
+    owed = n.select("c_mktsegment", "n_name", F.when(F.col("n") % 5 > 0, F.col("n")).alias("value"))
+    return reports.split_wins(reports.rank_min(owed, ["c_mktsegment"]), ["c_mktsegment"])
 
 
 @query("split_wins", f"{RANKED} SELECT * FROM won")
