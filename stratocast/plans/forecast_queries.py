@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocast.operators import calendar, folds, hierarchy, joins, metrics, models, pooled, reconcile, weights
+from stratocast.operators import calendar, folds, hierarchy, joins, kernels, metrics, models, pooled, reconcile, weights
 from stratocast.operators.models import BASELINES, PRED_TYPE
 from stratocast.plans import experiment, inputs
 from stratocast.plans import reference_sql as ref
@@ -83,7 +83,7 @@ def _kernel_query(name: str, model: str):
 
 
 for _name, _model in (
-    ("f_theta", "Theta"), ("f_adida", "ADIDA"), ("f_imapa", "IMAPA"),
+    ("f_theta", "Theta"),
     ("f_ets", "AutoETS"), ("f_arima", "AutoARIMA"),
 ):
     _kernel_query(_name, _model)
@@ -112,6 +112,38 @@ def _(spark, sf_dir):
     return forecasts(spark, sf_dir, ["CrostonSBA"]).drop("model")
 
 
+# exponential smoothing of bucket sums for every bucket length up to the mean demand interval and every alpha
+BUCKETS = f"""{(PANEL + ", " + ref.folds(H, H)).replace('WITH', 'WITH RECURSIVE', 1)},
+ob AS (SELECT {S}, i, CAST(y AS DOUBLE) AS y FROM levels JOIN dates USING (ds) WHERE i <= (SELECT n FROM train_n)),
+iv AS (SELECT {S}, max(i) AS n, least(greatest(CAST(round_even(CASE WHEN count(*) FILTER (y <> 0) > 1
+    THEN (max(i) FILTER (y <> 0) - min(i) FILTER (y <> 0)) / (count(*) FILTER (y <> 0) - 1) ELSE 1 END, 0) AS INTEGER), 1), max(i) // 2) AS k FROM ob GROUP BY ALL),
+kj AS (SELECT *, CAST(unnest(generate_series(1, k)) AS INTEGER) AS j FROM iv),
+bk AS (SELECT {", ".join("kj." + c for c in SERIES)}, k, j, (i - 1 - (n - n // j * j)) // j + 1 AS t, sum(y) AS y
+  FROM kj JOIN ob ON {ref.null_join('kj', 'ob', SERIES)} AND i > n - n // j * j GROUP BY ALL),
+sm AS (
+  SELECT {S}, k, j, t, unnest([{", ".join(f"{a!r}::DOUBLE" for a in map(float, kernels.ALPHAS))}]) AS alpha, y AS level, CAST(0 AS DOUBLE) AS sse FROM bk WHERE t = 1
+  UNION ALL
+  SELECT {", ".join("sm." + c for c in SERIES)}, sm.k, sm.j, bk.t, alpha, level + alpha * (bk.y - level), sse + (bk.y - level) * (bk.y - level)
+  FROM sm JOIN bk ON bk.t = sm.t + 1 AND bk.j = sm.j AND {ref.null_join('bk', 'sm', SERIES)}),
+fin AS (SELECT {S}, k, j, arg_min(level, {{'sse': sse, 'alpha': alpha}}) / j AS level FROM sm
+  WHERE t = (SELECT n FROM train_n) // j GROUP BY {S}, k, j)"""
+
+
+def _bucket_query(name: str, model: str, pick: str):
+    sql = f"""{BUCKETS}, fc AS ({pick}) SELECT {", ".join("l." + c for c in SERIES)}, l.ds, CAST(l.y AS DOUBLE) AS y,
+      round(CAST(CAST(fc.pred AS DECIMAL(28,6)) AS DOUBLE), 4) AS pred
+    FROM fc JOIN levels l ON {ref.null_join('fc', 'l', SERIES)} JOIN dates d ON l.ds = d.ds WHERE d.i > (SELECT n FROM train_n)"""
+
+    @query(name, sql)
+    def _(spark, sf_dir):
+        out = forecasts(spark, sf_dir, [model]).drop("model")
+        return out.withColumn("pred", F.round(F.col("pred").cast("double"), 4))
+
+
+_bucket_query("f_adida", "ADIDA", f"SELECT {S}, level AS pred FROM fin WHERE j = k")
+_bucket_query("f_imapa", "IMAPA", f"SELECT {S}, sum(level ORDER BY j) / any_value(k) AS pred FROM fin GROUP BY {S}")
+
+
 def pooled_forecasts(spark, sf_dir, mode):
     train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
     out = pooled.pooled_forecast(train, SERIES, "y", H, 12, mode)
