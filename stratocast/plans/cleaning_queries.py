@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratocast.functions import dates, labels, text
 from stratocast.operators import calendar, hierarchy, reshape
-from stratocast.operators.models import BASELINES, create_forecasts, series_arrays
+from stratocast.operators.models import create_forecasts, series_arrays
 from stratocast.plans import inputs
 from stratocast.plans import reference_sql as ref
 from stratocast.plans.registry import query

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratocast.functions.text import encode_id
-from stratocast.operators import calendar, folds, hierarchy, ids, joins, profile, reconcile, weights
-from stratocast.operators.models import create_forecasts, merge_forecast_actuals, series_arrays
+from stratocast.operators import calendar, folds, hierarchy, ids, joins, profile, reconcile
+from stratocast.operators.models import create_forecasts, merge_forecast_actuals
 from stratocast.plans import inputs
 from stratocast.plans import reference_sql as ref
 from stratocast.plans.cleaning_queries import (

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratocast.functions.labels import FORECAST_METHOD_LABELS, METHOD_LABELS
-from stratocast.functions.text import score_text
 from stratocast.operators import reports
 from stratocast.plans import inputs
 from stratocast.plans.cleaning_queries import METHOD_CASE, OPTIM_CASE, _label_case
