@@ -135,8 +135,8 @@ def judge(words: W.Words, rules: Rules) -> Judged:
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     cover = np.zeros(len(hashes) + 1, dtype=np.int64)
-    np.add.at(cover, ok[twice], 1)
-    np.add.at(cover, ok[twice] + 5, -1)
+    cover[ok[twice]] += 1
+    cover[ok[twice] + 5] -= 1
     covered = _sums(np.cumsum(cover[:-1]) > 0)
 
     # line rules

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratocast.llm.quality import op7_quality
 from stratocast.llm.sharding import op8_sharding
+from stratocast.llm.simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
 }

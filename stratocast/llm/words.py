@@ -84,8 +84,8 @@ class Words:
         """The words with one space after each: bytes, and where each word starts and ends there."""
         lengths = self.ends - self.starts
         keep = np.zeros(len(self.data) + 1, dtype=np.int8)
-        np.add.at(keep, self.starts, 1)
-        np.add.at(keep, self.ends, -1)
+        keep[self.starts] += 1
+        keep[self.ends] -= 1
         inside = np.cumsum(keep[:-1]).astype(bool)
         ends = np.cumsum(lengths + 1) - 1
         out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, dtype=np.uint8)
