@@ -118,7 +118,7 @@ def judge(words: W.Words, rules: Rules) -> Judged:
     symbols = _sums(_SYMBOL[data])
 
     # equal lines of a text, compared by hash and length of the whole line
-    body = W._pieces(W._CODES[data], starts, ends, 2)
+    body = W.range_hashes(W.CODES[data], starts, ends, 2)
     mark = W.mix(body ^ W.mix((line_doc.astype(np.uint64) << np.uint64(32)) + (ends - starts).astype(np.uint64)))
     at = np.flatnonzero(full)
     _, lead = np.unique(mark[at], return_index=True)

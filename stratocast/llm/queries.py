@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratocast.llm.bpe import op4_bpe
 from stratocast.llm.doubling import op6_substring_dedup
 from stratocast.llm.quality import op7_quality
 from stratocast.llm.sharding import op8_sharding
@@ -14,6 +15,7 @@ from stratocast.llm.suffixes import op5_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,

@@ -17,7 +17,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 21
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [int(x) | 5 for x in _rng.integers(1 << 40, 1 << 62, 4, dtype=np.int64)]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _pieces(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     """The hash of values[starts[i]:ends[i]] for every i."""
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(which, len(values)), out=sums[1:])
@@ -78,7 +78,7 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """One hash for each word."""
-        return _pieces(_CODES[self.data], self.starts, self.ends, which)
+        return range_hashes(CODES[self.data], self.starts, self.ends, which)
 
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words with one space after each: bytes, and where each word starts and ends there."""
@@ -133,7 +133,7 @@ def windows(hashes: np.ndarray, length: int, which: int = 1) -> np.ndarray:
     """The hash of each run of `length` words, by its first word; runs may cross texts, see `inside`."""
     n = max(len(hashes) - length + 1, 0)
     at = np.arange(n)
-    return _pieces(hashes, at, at + length, which)
+    return range_hashes(hashes, at, at + length, which)
 
 
 def inside(words: Words, length: int) -> np.ndarray:
