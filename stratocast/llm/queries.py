@@ -12,8 +12,10 @@ from stratocast.llm.quality import op7_quality
 from stratocast.llm.sharding import op8_sharding
 from stratocast.llm.simhash import op3_simhash
 from stratocast.llm.suffixes import op5_suffix_dedup
+from stratocast.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
