@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratocast.llm.bpe import op4_bpe
+from stratocast.llm.decontamination import op10_decontamination
 from stratocast.llm.doubling import op6_substring_dedup
 from stratocast.llm.quality import op7_quality
 from stratocast.llm.sharding import op8_sharding
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}

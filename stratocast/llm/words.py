@@ -7,7 +7,7 @@ different ones differ but for a chance of about 2**-60.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,11 +95,11 @@ class Words:
         return out, ends - lengths, ends
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of the texts data[offsets[d]:offsets[d + 1]]."""
+def find_words(data: np.ndarray, offsets: np.ndarray, space: Callable[[np.ndarray], np.ndarray] | None = None) -> Words:
+    """The words of the texts data[offsets[d]:offsets[d + 1]]. `space` says which bytes are between words."""
     black = np.empty(len(data) + 1, dtype=bool)
     black[-1] = False
-    np.logical_not(_SPACE[data], out=black[:-1])
+    np.logical_not(space(data) if space else _SPACE[data], out=black[:-1])
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < len(data))]
     start = black[:-1].copy()
@@ -111,7 +111,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, space: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for runs of texts of about CHUNK_BYTES; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
@@ -125,7 +125,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Words]
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK_BYTES, side="right")) - 1)
         high = min(high, len(texts))
-        yield low, high, find_words(body[at[low] : at[high]], at[low : high + 1] - at[low])
+        yield low, high, find_words(body[at[low] : at[high]], at[low : high + 1] - at[low], space)
         low = high
 
 
