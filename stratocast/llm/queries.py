@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratocast.llm.bpe import op4_bpe
+from stratocast.llm.chat import OP1_SQL, op1_chat
 from stratocast.llm.decontamination import op10_decontamination
 from stratocast.llm.doubling import op6_substring_dedup
 from stratocast.llm.quality import op7_quality
@@ -16,6 +17,7 @@ from stratocast.llm.suffixes import op5_suffix_dedup
 from stratocast.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
@@ -25,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
