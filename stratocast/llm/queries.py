@@ -10,6 +10,7 @@ from stratocast.llm.bpe import op4_bpe
 from stratocast.llm.chat import OP1_SQL, op1_chat
 from stratocast.llm.decontamination import op10_decontamination
 from stratocast.llm.doubling import op6_substring_dedup
+from stratocast.llm.extraction import op9_extraction
 from stratocast.llm.quality import op7_quality
 from stratocast.llm.sharding import op8_sharding
 from stratocast.llm.simhash import op3_simhash
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_extraction": op9_extraction,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
