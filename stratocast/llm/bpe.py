@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, id_key, map_arrow, real_id, text_of
+from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked, unused
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -218,27 +219,33 @@ def _has_long(words: W.Words) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, token_ids) for every row: the ids of the whole text, without special tokens added, as the tokenizers
-    library gives them. Null and empty texts have no ids; rows that repeat an id or a text have a row each; the id is
-    -2**63 where it is null; other columns are not read.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """(id, th, token_ids) for every row, and text and other columns as `rest` if asked for: the ids of the whole
+    text, without special tokens added, as the tokenizers library gives them. Null and empty texts have no ids; rows
+    that repeat an id or a text have a row each; the id is -2**63 where it is null; no rows give no rows.
 
     Texts with a long unsplit word go another way: its leaves are encoded in tasks of their own and come together per
     document, where only windows around the joins are encoded again."""
     path = path or default_path()
-    rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
-    out = "id long, th long, token_ids array<int>"
+    rows = keyed(docs, id_col, text_col, rest)
+    added = [f for f in rows.schema.fields if f.name in ("text", "rest")] if rest else []
+    names = ["id", "th", "token_ids", *(f.name for f in added)]
+    out = StructType([*StructType.fromDDL("id long, th long, token_ids array<int>").fields, *added])
 
     def short(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for low, high, words in W.chunks(batch.column(2)):
-            keep = np.flatnonzero(~_has_long(words))
             part = batch.slice(low, high - low)
-            if len(keep) < words.n:
-                part = part.take(pa.array(keep))
-                words = next(W.chunks(part.column(2)))[2] if len(keep) else None
-            if words is not None:
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(*encoder.encode(words))], names=["id", "th", "token_ids"])
+            keep = np.flatnonzero(~_has_long(words))
+            if not len(keep):
+                continue
+            if len(keep) == words.n:
+                groups = [(part, words)]
+            else:
+                some = part.take(pa.array(keep))
+                groups = [(some.slice(a, b - a), w) for a, b, w in W.chunks(some.column(2))]
+            for some, w in groups:
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _lists(*encoder.encode(w)), *(some.columns[2:] if rest else [])], names=names)
 
     def leaves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
@@ -252,46 +259,44 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 parts += [(piece, None)] if b - a < LONG else encoder.split_long(piece)
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, batch.column(c)[k].as_py()), pa.int64()) for c in (0, 1, 3)] + [pa.array(np.arange(n)), pa.array([p for p, _ in parts], pa.string()), pa.array([j for _, j in parts], pa.bool_())],
-                names=["id", "th", "times", "at", "part", "joins"],
+                [pa.array(np.full(n, batch.column(c)[k].as_py()), pa.int64()) for c in (0, 1)] + [pa.array(np.arange(n)), pa.array([p for p, _ in parts], pa.string()), pa.array([j for _, j in parts], pa.bool_())],
+                names=["id", "th", "at", "part", "joins"],
             )
 
     def encode_parts(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = Encoder.of(path)
-        texts, joins = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        ids = [encoder.plain([t])[0] if j is None else encoder.leaf(t) for t, j in zip(texts, joins)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32())), batch.column(5)], names=["id", "th", "times", "at", "ids", "joins"])
+        ids = [encoder.plain([t])[0] if j is None else encoder.leaf(t) for t, j in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32())), batch.column(4)], names=["id", "th", "at", "ids", "joins"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, key, parts = Encoder.of(path), None, []
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            if key is not None:
-                ids, group = [], []
-                for part, joins in parts:
-                    if not joins and group:
-                        ids += encoder.tree(group)
-                        group = []
-                    group.append(part)
-                ids += encoder.tree(group)
-                for _ in range(key[2]):
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["id", "th", "token_ids"])
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([encoder.assemble(parts)], pa.list_(pa.int32()))], names=["id", "th", "token_ids"])
 
         for batch in batches:
-            for i, th, times, _, ids, joins in zip(*(c.to_pylist() for c in batch.columns)):
-                if key is not None and (i, th) != key[:2]:
-                    yield from finish()
-                    parts = []
-                key = (i, th, times)
-                parts.append((ids, joins))
-        yield from finish()
-
-    plain = map_arrow(rows, short, out)
-    long = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]{%d}" % (LONG // 4))).groupBy("id", "th", "text").agg(F.count("*").alias("times"))
-    spread = map_arrow(long, leaves, "id long, th long, times long, at long, part string, joins boolean").repartition("id", "th", "at")
-    encoded = map_arrow(spread, encode_parts, "id long, th long, times long, at long, ids array<int>, joins boolean")
-    gathered = encoded.repartition("id", "th").sortWithinPartitions("id", "th", "at").mapInArrow(gather, out)
-    return plain.unionByName(gathered)
+            for i, th, _, ids, joins in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (i, th):
+                    if key is not None:
+                        yield whole()
+                    key, parts = (i, th), []
+                parts.append((ids, bool(joins)))
+        if key is not None:
+            yield whole()
+
+    # in code points, so that no text with a word of LONG bytes is missed; `leaves` looks at the bytes
+    long = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]{%d}" % (LONG // 4)))
+    spread = map_arrow(long.dropDuplicates(["id", "th"]), leaves, "id long, th long, at long, part string, joins boolean").repartition("id", "th", "at")
+    encoded = map_arrow(spread, encode_parts, "id long, th long, at long, ids array<int>, joins boolean")
+    gathered = encoded.repartition("id", "th").sortWithinPartitions("id", "th", "at").mapInArrow(gather, "id long, th long, token_ids array<int>")
+    return map_arrow(rows, short, out).unionByName(long.join(gathered, ["id", "th"]).select(*names))
+
+
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The documents with all their columns, and n_tokens and token_ids after them (with underscores before the name
+    if a column has it already)."""
+    out = encode(docs, path, rest=True)
+    return out.select(*unpacked(docs), F.size("token_ids").cast("long").alias(unused("n_tokens", docs.columns)), F.col("token_ids").alias(unused("token_ids", docs.columns)))
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:

@@ -28,10 +28,38 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, text): what a document is known by when results meet its text again. Rows that repeat an id are
-    told apart by a hash of the text; whole copies of a row get the same results."""
-    return docs.select(id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """(id, th, text) and, if asked for, the other columns as `rest`: what a document is known by when results meet
+    its text again. Rows that repeat an id are told apart by a hash of the text; whole copies of a row get the same
+    results."""
+    rows = [id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text")]
+    return docs.select(*rows, *([packed(docs, text_col).alias("rest")] if rest else []))
+
+
+def packed(docs: DataFrame, text_col: str = "text") -> Column:
+    """All columns but the text in one, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.lit(0).alias("__none"))
+
+
+def unpacked(docs: DataFrame, text_col: str = "text") -> list[Column]:
+    """The columns of `docs` from a frame with the columns `rest` (see `packed`) and `text`. A column n_chars
+    follows the text."""
+
+    def one(c: str) -> Column:
+        if c == text_col:
+            return F.col("text").alias(c)
+        if c == "n_chars":
+            return F.char_length("text").cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"rest.`{c}`").alias(c)
+
+    return [one(c) for c in docs.columns]
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it if a column has it already."""
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def real_id(column: str = "id") -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, id_key, map_arrow, real_id, text_of
+from stratocast.llm.common import documents, keyed, map_arrow, real_id, text_of, unpacked
 
 #: Words of a seed, which is the shortest tile, and the share of an item's words that makes it a leak.
 SEED, COVERAGE = 4, 0.5
@@ -241,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, send_chars: int = SEND_CHARS, i
     items of fewer than SEED words have no leaks; null document ids come as -2**63; rows that repeat an id are
     tested each; repeated items are reported each, and no benchmark gives no rows.
     """
-    rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
+    rows = keyed(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     size, count = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)), F.count("*")).first()
     if size <= send_chars and count <= SEND_ITEMS:
@@ -257,7 +257,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without leaks, with all their columns."""
-    key, th = "__leak_id", "__leak_th"
-    found = leaks(docs, benchmark).select(F.col("id").alias(key), F.col("th").alias(th)).distinct()
-    marked = docs.withColumns({"__own_id": id_key(), "__own_th": F.xxhash64(text_of())})
-    return marked.join(found, (F.col("__own_id") == F.col(key)) & (F.col("__own_th") == F.col(th)), "left_anti").drop("__own_id", "__own_th")
+    found = leaks(docs, benchmark).select("id", "th").distinct()
+    return keyed(docs, rest=True).join(found, ["id", "th"], "left_anti").select(*unpacked(docs))

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratocast.llm import words as W
-from stratocast.llm.common import id_key, map_arrow, text_of
+from stratocast.llm.common import id_key, map_arrow, packed, text_of
 
 ROWS = "key long, kind byte, id long, th int, at int"
 NAMES = ["key", "kind", "id", "th", "at"]
@@ -24,13 +25,14 @@ NAMES = ["key", "kind", "id", "th", "at"]
 OPEN, SIGN, SETTLED = 0, 1, 2
 
 
-def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, text). The id orders the documents, null first. `th` tells rows apart that repeat an id: it is a hash
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """(id, th, text), and the other columns as `rest` if asked for. The id orders the documents, null first. `th` tells rows apart that repeat an id: it is a hash
     of the text, or zero throughout when no id repeats, which moves fewer bytes."""
     ids = docs.select(id_key(id_col).alias("id")).groupBy("id").count()
     unique = ids.where("count > 1").limit(1).isEmpty()
     th = F.lit(0) if unique else F.hash(text_of(text_col))
-    return docs.select(id_key(id_col).alias("id"), th.alias("th"), text_of(text_col).alias("text"))
+    rows = [id_key(id_col).alias("id"), th.alias("th"), text_of(text_col).alias("text")]
+    return docs.select(*rows, *([packed(docs, text_col).alias("rest")] if rest else []))
 
 
 def _batch(key: np.ndarray, kind: np.ndarray, ids: np.ndarray, th: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -151,8 +153,8 @@ def by_document(places: DataFrame) -> DataFrame:
 
 
 def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, th, text, places) for every row of (id, th, text)."""
-    return rows.join(by_document(places), ["id", "th"], "left").select("id", "th", "text", "places")
+    """(id, th, text, places) for every row of (id, th, text), and `rest` if it has one."""
+    return rows.join(by_document(places), ["id", "th"], "left").select("id", "th", "text", "places", *(c for c in rows.columns if c == "rest"))
 
 
 Emit = Callable[[W.Words, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -232,10 +234,14 @@ def without(rows: DataFrame, length: int, joined: bool) -> DataFrame:
                 pa.StructArray.from_arrays([pa.array((run - words.first[docs[run]]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["first", "words"]),
             )
             texts = _joined(words, gone) if joined else _cut(words, gone, run, run + size)
-            ids, th = (batch.column(i).slice(low, high - low) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([ids, th, pa.array(words.counts), pa.array(removed.astype(np.int64)), spans, pa.array(texts, pa.string())], names=[x.split(" ")[0] for x in ("id x", "th x", "n_words x", "n_removed x", "spans x", "text x")])
+            part = batch.slice(low, high - low)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(words.counts), pa.array(removed.astype(np.int64)), spans, pa.array(texts, pa.string()), *part.columns[4:]],
+                names=["id", "th", "n_words", "n_removed", "spans", "text", *(["rest"] if part.num_columns > 4 else [])],
+            )
 
-    return map_arrow(rows, work, KEPT)
+    extra = [f for f in rows.schema.fields if f.name == "rest"]
+    return map_arrow(rows, work, StructType([*StructType.fromDDL(KEPT).fields, *extra]))
 
 
 def _joined(words: W.Words, gone: np.ndarray) -> list[str]:

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import map_arrow, text_of
+from stratocast.llm.common import documents, map_arrow, packed, text_of, unpacked
 
 #: Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -207,8 +207,7 @@ def quality_stage(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     A null text fails. The stage needs no shuffle: each row carries its other columns through the judgement.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), text_of().alias("text"))
+    rows = docs.select(packed(docs).alias("rest"), text_of().alias("text"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for low, high, words in W.chunks(batch.column(1)):
@@ -216,14 +215,10 @@ def quality_stage(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             keep = np.flatnonzero((j.n_words >= 10) & (100 * j.n_repeat_words <= 20 * j.n_words) & (j.lost_words <= rules.max_lost_share * j.n_words))
             body = words.data.tobytes()
             texts = [b"\n".join(body[j.line_starts[r] : j.line_ends[r]] for r in range(j.line_first[d], j.line_first[d + 1]) if j.line_kept[r]).decode() for d in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(keep)), pa.array(texts, pa.string())], names=["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(keep)), pa.array(texts, pa.string())], names=["rest", "text"])
 
-    out = map_arrow(packed, work, packed.schema)
-    length = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return out.select(*(F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return map_arrow(rows, work, rows.schema).select(*unpacked(docs))
 
 
-def op7_quality(spark, sf_dir: str) -> DataFrame:
-    from stratocast.llm.common import documents
-
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), clean=False).drop("lost_words", "cleaned")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, id_key, map_arrow, real_id, text_of
+from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked
 from stratocast.llm.components import HOLD, components, forest
 from stratocast.llm.xxh import xxh64
 from stratocast.session import cut_lineage
@@ -70,8 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = fingerprints_of(words, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(fp)], names=["id", "th", "fp"])
 
-    rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
-    return map_arrow(rows, work, "id long, th long, fp long")
+    return map_arrow(keyed(docs, id_col, text_col), work, "id long, th long, fp long")
 
 
 def chain_keys(fp: np.ndarray) -> np.ndarray:
@@ -214,6 +213,20 @@ def near_copies(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_
     return rows.join(named, "fp").select("id", "th", "fp", "component")
 
 
+def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id stays (of rows that repeat
+    that id the one with the smallest hash of the text, and of whole copies of that row one). All columns stay. Texts
+    without words are one group. The documents are moved once, to meet the short list of those that stay."""
+    found = cut_lineage(near_copies(docs, shingle))
+    chosen = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
+    times = found.groupBy("id", "th").agg(F.count("*").alias("times"))
+    kept = cut_lineage(chosen.join(times, ["id", "th"]))
+    rows = keyed(docs, rest=True)
+    once = rows.join(kept.where("times = 1").select("id", "th"), ["id", "th"], "left_semi")
+    more = rows.join(kept.where("times > 1").select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    return once.unionByName(more).select(*unpacked(docs))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_copies(documents(spark, sf_dir), shingle=4)
     return out.select(real_id().alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm.common import documents, real_id
+from stratocast.llm.common import documents, real_id, unpacked
 from stratocast.llm.passages import keyed_rows, later_places, place_rows, repeated_places, seed_places, windows_of_seeds, with_places, without
 
 #: Words of a passage that must repeat, and words of its suffix that are sorted first.
 LENGTH, SEED = 50, 25
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined: bool = False) -> DataFrame:
-    """(id, th, n_words, n_removed, spans, text): each document without passages of `length` or more words that
+def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined: bool = False, rest: bool = False) -> DataFrame:
+    """(id, th, n_words, n_removed, spans, text), and the other columns as `rest` if asked for: each document without passages of `length` or more words that
     occur earlier, which is in a document with a smaller id, or further ahead in the same one.
 
     1. Of all suffixes those are retained that start at a minimiser: the run of `seed` words with the smallest hash
@@ -31,7 +31,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined
     suffixes = place_rows(rows, seed_places(length, seed), later=False)
     matched = with_places(rows, repeated_places(suffixes))
     extended = place_rows(matched, windows_of_seeds(length, seed), later=True)
-    return without(with_places(rows, later_places(extended)), length, joined)
+    whole = keyed_rows(docs, rest=True) if rest else rows
+    return without(with_places(whole, later_places(extended)), length, joined)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, without the passages that `drop_repeats` finds. What is left keeps its
+    white space; n_chars follows the text. A document goes that loses every word; others stay, with or without text."""
+    return drop_repeats(docs, rest=True).where("n_words = 0 or n_removed < n_words").select(*unpacked(docs))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
