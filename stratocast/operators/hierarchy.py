@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYS = 16
+# level_id is an int, one bit for each key.
+BITMAP_KEYS = 31
 KEYS_PER_EXPAND = 4
 
 
@@ -69,8 +70,8 @@ def cube_levels(
     and each step expands rows that the step before has already reduced.
     """
     keys = list(keys)
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"{len(keys)} keys give 2^{len(keys)} levels; list the wanted levels")
+    if len(keys) > BITMAP_KEYS:
+        raise ValueError(f"level_id has a bit for each of at most {BITMAP_KEYS} keys, not {len(keys)}")
     if null_keys == "drop":
         df = drop_null_keys(df, keys)
     if levels is not None:

@@ -21,36 +21,44 @@ def _ses(y: np.ndarray, alphas: np.ndarray = ALPHAS) -> tuple[np.ndarray, np.nda
 
 
 def _season_index(y: np.ndarray, m: int) -> np.ndarray:
-    """Multiplicative season of positive series from centred moving averages, ones where it does not apply."""
+    """(factors, summands) of a season from centred moving averages: factors for positive series, summands for
+    others, and neither for less than two seasons."""
     s, n = y.shape
     if m < 2 or n < 2 * m:
-        return np.ones((s, max(m, 1)))
+        return np.ones((s, max(m, 1))), np.zeros((s, max(m, 1)))
     box = np.ones(m) / m
     if m % 2 == 0:
         box = np.convolve(box, [0.5, 0.5])
     half = len(box) // 2
     trend = np.apply_along_axis(lambda v: np.convolve(v, box, "valid"), 1, y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = y[:, half : half + trend.shape[1]] / trend
     pos = (np.arange(half, half + trend.shape[1])) % m
-    idx = np.stack([ratio[:, pos == p].mean(axis=1) for p in range(m)], axis=1)
-    ok = (y > 0).all(axis=1) & np.isfinite(idx).all(axis=1)
-    idx = idx / np.where(idx.mean(axis=1, keepdims=True) == 0, 1, idx.mean(axis=1, keepdims=True))
-    return np.where(ok[:, None] & (idx > 0).all(axis=1)[:, None], idx, 1.0)
+    middle = y[:, half : half + trend.shape[1]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = middle / trend
+    times = np.stack([ratio[:, pos == p].mean(axis=1) for p in range(m)], axis=1)
+    plus = np.stack([(middle - trend)[:, pos == p].mean(axis=1) for p in range(m)], axis=1)
+    plus = plus - plus.mean(axis=1, keepdims=True)
+    positive = (y > 0).all(axis=1) & np.isfinite(times).all(axis=1)
+    times = times / np.where(times.mean(axis=1, keepdims=True) == 0, 1, times.mean(axis=1, keepdims=True))
+    positive = (positive & (times > 0).all(axis=1))[:, None]
+    return np.where(positive, times, 1.0), np.where(positive, 0.0, plus)
 
 
 def theta(y: np.ndarray, h: int, m: int) -> np.ndarray:
-    """Classical two-line Theta method on the deseasonalised series."""
+    """Classical two-line Theta method on the deseasonalised series. The season is multiplied where all values are
+    positive, and added elsewhere."""
     s, n = y.shape
-    idx = _season_index(y, m)
-    period = idx.shape[1]
-    adj = y / idx[:, np.arange(n) % period]
+    times, plus = _season_index(y, m)
+    period = times.shape[1]
+    now = np.arange(n) % period
+    adj = (y - plus[:, now]) / times[:, now]
     level, alpha = _ses(adj)
     t = np.arange(n) - (n - 1) / 2
     slope = (adj * t).sum(axis=1) / (t * t).sum() if n > 1 else np.zeros(s)
     steps = np.arange(h)
     drift = 0.5 * slope[:, None] * (steps + ((1 - (1 - alpha) ** n) / alpha)[:, None])
-    return (level[:, None] + drift) * idx[:, (n + steps) % period]
+    ahead = (n + steps) % period
+    return (level[:, None] + drift) * times[:, ahead] + plus[:, ahead]
 
 
 def croston_sba(y: np.ndarray, h: int, m: int, alpha: float = 0.1) -> np.ndarray:
@@ -202,19 +210,29 @@ def _arma(w: np.ndarray, h: int, p: int, q: int, constant: bool, skip: int, long
         coef = _solve(x, w[:, skip:])
         resid = w[:, skip:] - np.einsum("snk,sk->sn", x, coef)
     e[:, skip:] = resid
-    bound = 4 * np.abs(w).max(axis=1) + 1e-9
     path = np.concatenate([w, np.zeros((s, h))], axis=1)
     shock = np.concatenate([e, np.zeros((s, h))], axis=1)
     for t in range(n, n + h):
         terms = [path[:, t - i] for i in range(1, p + 1)] + [shock[:, t - i] for i in range(1, q + 1)]
         terms += [np.ones(s)] if constant else []
-        value = sum((coef[:, i] * v for i, v in enumerate(terms)), np.zeros(s))
-        path[:, t] = np.clip(value, -bound, bound)  # keeps explosive fits finite
-    return _aicc((resid * resid).sum(axis=1), n - skip, p + q + constant + 1), path[:, n:]
+        path[:, t] = sum((coef[:, i] * v for i, v in enumerate(terms)), np.zeros(s))
+    score = _aicc((resid * resid).sum(axis=1), n - skip, p + q + constant + 1)
+    return np.where(_stationary(coef[:, :p]), score, np.inf), path[:, n:]
+
+
+def _stationary(ar: np.ndarray) -> np.ndarray:
+    """Whether autoregressions of order 0 to 2 stay bounded. Orders whose fit does not are not chosen."""
+    if ar.shape[1] == 0:
+        return np.ones(len(ar), bool)
+    if ar.shape[1] == 1:
+        return np.abs(ar[:, 0]) < 1
+    return (np.abs(ar[:, 1]) < 1) & (ar[:, 0] + ar[:, 1] < 1) & (ar[:, 1] - ar[:, 0] < 1)
 
 
 def auto_arima(y: np.ndarray, h: int, m: int, max_p: int = 2, max_q: int = 2) -> np.ndarray:
-    """Bounded order grid. Differencing is chosen first (smallest spread), ARMA orders by AICc."""
+    """Order grid. Differencing is chosen first (smallest spread), then of the stationary ARMA fits the one with the
+    lowest AICc; its forecasts are what the fit says. With fewer than 12 usable values there is no fit, and the last
+    value is the forecast."""
     s, n = y.shape
     options = [(0, 0), (1, 0)] + ([(0, 1), (1, 1)] if m > 1 and n >= 3 * m else [])
     shortest = n - max(d + sd * m for d, sd in options)

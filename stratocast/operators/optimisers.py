@@ -50,7 +50,10 @@ def differential_evolution(
 
     pop, score = cells, loss(cells)
     for _ in range(generations):
-        a, b = (rng.integers(0, size, size) for _ in range(2))
+        # two donors that differ from each other and from the row they change
+        a = (np.arange(size) + rng.integers(1, size, size)) % size
+        b = (np.arange(size) + rng.integers(1, size - 1, size)) % size
+        b = np.where((b - np.arange(size)) % size >= (a - np.arange(size)) % size, (b + 1) % size, b)
         trial = pop[score.argmin()] + rng.uniform(0.5, 1.0) * (pop[a] - pop[b])
         outside = (trial < 0) | (trial > 1)
         trial = np.where(outside, rng.random((size, n)), trial)
@@ -66,6 +69,20 @@ def differential_evolution(
     return normalise(pop[score.argmin()])
 
 
+def fit_present(method: str, y: np.ndarray, preds: np.ndarray, rounds: int, key: str) -> np.ndarray:
+    """Weights where predictions may be missing: levels that lack any get none. If every level lacks some, the dates
+    that all levels have decide, and without such dates all weights are equal."""
+    here = ~np.isnan(preds)
+    levels, dates = here.all(axis=0), here.all(axis=1)
+    if levels.any():
+        out = np.zeros(preds.shape[1])
+        out[levels] = fit(method, y, preds[:, levels], rounds, key)
+        return out
+    if dates.any():
+        return fit(method, y[dates], preds[dates], rounds, key)
+    return normalise(np.zeros(preds.shape[1]))
+
+
 def fit(method: str, y: np.ndarray, preds: np.ndarray, rounds: int, key: str) -> np.ndarray:
     if method == "ensemble_selection":
         return ensemble_selection(y, preds, rounds)

@@ -66,18 +66,20 @@ def roll_forward(hist: Column, coef: Column, lags: Sequence[int], h: int) -> Col
     def roll(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         back = np.array(lags)
         for y, c in batches:
-            out = []
-            for values, w in zip(y, c):
-                path = np.concatenate([values, np.zeros(h)])
-                if w is None or len(values) < back.max():
-                    out.append(np.full(h, values[-1]))
-                    continue
-                scale = max(np.abs(values).mean(), 1e-9)
-                bound = 10 * np.abs(values).max() + 1e-9
-                for t in range(len(values), len(values) + h):
-                    step = w[:-1] @ path[t - back] + w[-1] * scale
-                    path[t] = min(max(step, -bound), bound)
-                out.append(path[len(values) :])
+            out = [None] * len(y)
+            size = y.map(len).to_numpy()
+            fitted = c.notna().to_numpy() & (size >= back.max())
+            for k in np.flatnonzero(~fitted):  # no coefficients or too short: the last value
+                out[k] = np.full(h, y.iloc[k][-1])
+            for n in np.unique(size[fitted]):  # series of one length together
+                rows = np.flatnonzero(fitted & (size == n))
+                path = np.concatenate([np.stack(y.iloc[rows].to_list()), np.zeros((len(rows), h))], axis=1)
+                w = np.stack(c.iloc[rows].to_list())
+                scale = np.maximum(np.abs(path[:, :n]).mean(axis=1), 1e-9)
+                for t in range(n, n + h):
+                    path[:, t] = (path[:, t - back] * w[:, :-1]).sum(axis=1) + w[:, -1] * scale
+                for k, row in zip(rows, path[:, n:]):
+                    out[k] = row
             yield pd.Series(out)
 
     return roll(hist.cast("array<double>"), coef)

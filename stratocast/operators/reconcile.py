@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.operators.hierarchy import cube_levels, has_key
@@ -32,25 +32,17 @@ def _structural(method: str) -> bool:
     return method == "wls_struct"
 
 
-# A window group of a pass holds the values of one key; larger keys are aggregated and joined instead.
-MAX_GROUP = 1_000_000
-
-
-def mint_balanced(
-    forecasts: DataFrame, keys: Sequence[str], by: Sequence[str], method: str = "ols", max_group: int = MAX_GROUP
-) -> DataFrame:
+def mint_balanced(forecasts: DataFrame, keys: Sequence[str], by: Sequence[str], method: str = "ols") -> DataFrame:
     """One pass per key over all nodes. With total t, parts summing to X and m parts, each part gets
     (t-X)/(m+1) for equal variances and (t-X)/(2m) for variances proportional to the leaves below.
 
-    A pass compares rows that differ in one key only. All such groups have the same size, the number of
-    values of the key plus one. It is measured first: up to `max_group` a pass is one window; beyond, the
-    sums are aggregated with map-side combine and joined back, and the pass is written, so that no group
-    sits in one task and no pass is computed twice.
+    A pass compares rows that differ in one key only. Their sums are aggregated with map-side combine, written and
+    joined back, so that no group sits in one task and no pass is computed twice. The factorisation needs every
+    total to have the same number of parts: a pass that finds another number raises.
     """
     struct = _structural(method)
     n = len(keys)
     out = cut_lineage(forecasts.select(*by, "level_id", *keys, "ds", F.col("pred").cast("double").alias("pred")))
-    cards = out.filter("level_id = 0").agg(*[F.count_distinct(k).alias(k) for k in keys]).first()
     for i, key in enumerate(keys):
         bit = 1 << (n - 1 - i)
         group = [*by, "ds", *[k for k in keys if k != key], "_base"]
@@ -61,20 +53,17 @@ def mint_balanced(
             "_x": F.sum(F.when(~rolled, F.col("pred"))),
             "_m": F.count(F.when(~rolled, F.col("pred"))),
         }
-        if cards[key] <= max_group:
-            w = Window.partitionBy(*group)
-            out = out.withColumns({c: s.over(w) for c, s in sums.items()})
-        else:
-            totals = out.groupBy(*group).agg(*[s.alias(c) for c, s in sums.items()])
-            out = out.alias("o").join(totals.alias("s"), null_safe_on(group, "o", "s")).select("o.*", *sums)
+        totals = cut_lineage(out.groupBy(*group).agg(*[s.alias(c) for c, s in sums.items()]))
+        parts = totals.agg(F.min("_m").alias("low"), F.max("_m").alias("high"), F.count("*").alias("n"), F.count("_t").alias("t")).first()
+        if parts["low"] != parts["high"] or parts["n"] != parts["t"]:
+            raise ValueError(f"the hierarchy is not balanced in {key!r}: totals have {parts['low']} to {parts['high']} parts; use mint_cg")
+        out = out.alias("o").join(totals.alias("s"), null_safe_on(group, "o", "s")).select("o.*", *sums)
         diff = F.col("_t") - F.col("_x")
         part = diff / (2 * F.col("_m") if struct else F.col("_m") + 1)
         whole = diff / 2 if struct else part
-        out = out.select(
-            *by, "level_id", *keys, "ds", (F.col("pred") + F.when(rolled, -whole).otherwise(part)).alias("pred")
+        out = cut_lineage(
+            out.select(*by, "level_id", *keys, "ds", (F.col("pred") + F.when(rolled, -whole).otherwise(part)).alias("pred"))
         )
-        if cards[key] > max_group:
-            out = cut_lineage(out)
     return out
 
 

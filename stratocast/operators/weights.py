@@ -98,7 +98,7 @@ def fit_weights(
         wide = pdf.pivot(index="ds", columns=["depth", "level_id"], values="pred").sort_index(axis=1)
         y = pdf.groupby("ds")["y_top"].max().to_numpy()
         method = key[group.index("optim_method")]
-        w = optimisers.fit(method, y, wide.to_numpy(), rounds, "|".join(map(str, key)))
+        w = optimisers.fit_present(method, y, wide.to_numpy(), rounds, "|".join(map(str, key)))
         out = pd.DataFrame([key] * len(w), columns=group)
         return out.assign(level_id=wide.columns.get_level_values("level_id"), weight=w)[[f.name for f in schema]]
 

@@ -12,7 +12,7 @@ from stratocast.operators.models import create_forecasts, series_arrays
 from stratocast.plans import inputs
 from stratocast.plans import reference_sql as ref
 from stratocast.plans.registry import query
-from stratocast.session import checkpoint_dir, table
+from stratocast.session import shared_folder, table
 from stratocast.sources import catalog, panels
 from stratocast.sources.store import ArtifactStore
 
@@ -32,7 +32,7 @@ def leaf_panel(spark, sf_dir):
 
 def scratch(spark) -> str:
     """A fresh folder that all executors share."""
-    return f"{checkpoint_dir(spark)}/stratocast-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 PANEL_CONTRACT = f"{IDS} SELECT ts_id, ds AS date, CAST(y AS DOUBLE) AS total, {K} FROM leaf JOIN ids USING ({K})"

@@ -226,14 +226,22 @@ def evaluate(
     )
 
 
+def stored(store: ArtifactStore, raw: DataFrame, spec: PanelSpec, cfg: Settings, version: str | None = None) -> ArtifactStore:
+    """The part of a store that holds the run of these settings on this input."""
+    return store.of(spec, cfg, raw.schema.simpleString(), raw.semanticHash() if version is None else version)
+
+
 def run_experiment(
     raw: DataFrame, spec: PanelSpec, cfg: Settings, balanced: bool | None = None,
-    store: ArtifactStore | None = None, rerun: bool = False,
+    store: ArtifactStore | None = None, rerun: bool = False, version: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of one dataset. Without a store the stages stay one lazy plan (fit for small panels).
+    """All tables of one dataset. In a store they lie apart by panel, settings and input; `version` names the
+    input, and where it is missing the input's plan stands for it. Without a store the stages stay one lazy plan (fit for small panels).
     The elapsed time of an experiment is that of back-test, weights and forecasts, shared by all
     experiments of the run since they are one set of jobs."""
     seconds = {}
+    if store is not None:
+        store = stored(store, raw, spec, cfg, version)
 
     def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if store is None:

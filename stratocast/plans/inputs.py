@@ -16,7 +16,6 @@ NESTED = PanelSpec("nested", ("r_name", "n_name", "c_mktsegment"), "ME")
 DAILY = PanelSpec("daily", ("event_type", "user_group"), "D")
 
 MONEY = "decimal(18,2)"
-LAST_ORDER_DATE = "2001-07-31"
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with every key, month-end date and exact money value."""
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp"))
+    orders = table(spark, sf_dir, "orders")
     return orders.join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(
         "r_name",
         "n_name",

@@ -8,8 +8,7 @@ ROWS = """rows_ AS (
   SELECT r_name, n_name, c_mktsegment, o_orderpriority, last_day(CAST(o_orderdate AS DATE)) AS ds,
          CAST(o_totalprice AS DECIMAL(18,2)) AS y
   FROM orders JOIN customer ON o_custkey = c_custkey
-       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderdate < TIMESTAMP '2001-08-01')"""
+       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 DAILY_ROWS = """rows_ AS (
   SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS user_group, CAST(ts AS DATE) AS ds,
@@ -33,7 +32,7 @@ panel AS (
   SELECT {", ".join("g." + c for c in keys)}, g.ds, coalesce(leaf.y, 0) AS y
   FROM (SELECT {k}, ds FROM dim CROSS JOIN cal) g
   LEFT JOIN leaf ON {" AND ".join(f"g.{c} = leaf.{c}" for c in keys)} AND g.ds = leaf.ds),
-levels AS (
+levels AS MATERIALIZED (
   SELECT CAST(grouping({k}) AS INTEGER) AS level_id, {k}, ds, sum(y) AS y
   FROM panel GROUP BY ds, CUBE({k}))"""
 
@@ -50,6 +49,12 @@ fold AS (
   FROM (SELECT n, k, CAST(unnest(generate_series(1, k)) AS INTEGER) AS f FROM train_n))"""
 
 
+def same_series(a: str, b: str, cols: Sequence[str]) -> str:
+    """Equality of one id instead of null-safe equality of every column: always a plain hash join."""
+    one = lambda t: " || '|' || ".join(f"coalesce(CAST({t}.{c} AS VARCHAR), '~')" for c in cols)
+    return f"{one(a)} = {one(b)}"
+
+
 def null_join(a: str, b: str, cols: Sequence[str]) -> str:
     return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
 
@@ -61,11 +66,11 @@ def baselines(keys: Sequence[str], h: int, m: int, folded: bool, test_period: in
     g = (["fold"] if folded else []) + s
     gs = ", ".join(g)
     if folded:
-        hist = f"""hist AS (
+        hist = f"""hist AS MATERIALIZED (
   SELECT fold, {", ".join(s)}, ds, y, row_number() OVER (PARTITION BY fold, {", ".join(s)} ORDER BY ds DESC) - 1 AS back
   FROM levels JOIN fold ON ds <= cutoff_ds)"""
     else:
-        hist = f"""hist AS (
+        hist = f"""hist AS MATERIALIZED (
   SELECT {", ".join(s)}, ds, y, row_number() OVER (PARTITION BY {", ".join(s)} ORDER BY ds DESC) - 1 AS back
   FROM levels WHERE ds IN (SELECT ds FROM dates WHERE i <= (SELECT count(*) - {test_period} FROM dates)))"""
     keep = f"WHERE model IN ({', '.join(repr(x) for x in models)})" if models else ""
@@ -77,7 +82,7 @@ stat AS (
 spos AS (
   SELECT {gs}, back % {m} AS pos, {avg} AS mean_y, CAST(max(CASE WHEN back < {m} THEN y END) AS DOUBLE) AS last_y
   FROM hist GROUP BY {gs}, back % {m}),
-pred AS (SELECT * FROM (
+pred AS MATERIALIZED (SELECT * FROM (
   SELECT 'Naive' AS model, {gs}, step, CAST(last_y AS DECIMAL(28,6)) AS pred FROM stat CROSS JOIN step
   UNION ALL SELECT 'Zero', {gs}, step, CAST(0 AS DECIMAL(28,6)) FROM stat CROSS JOIN step
   UNION ALL SELECT 'Average', {gs}, step, CAST(mean_y AS DECIMAL(28,6)) FROM stat CROSS JOIN step
@@ -94,7 +99,7 @@ def fold_forecasts(keys: Sequence[str], m: int, fold_length: int, test_period: i
 bt AS (
   SELECT p.model, p.fold, {", ".join("p." + c for c in s)}, d.ds, l.y, p.pred
   FROM pred p JOIN fold f ON p.fold = f.fold JOIN dates d ON d.i = f.n_train + p.step
-  JOIN levels l ON l.ds = d.ds AND {null_join("l", "p", s)})"""
+  JOIN levels l ON l.ds = d.ds AND {same_series("l", "p", s)})"""
 
 
 def horizon(keys: Sequence[str], m: int, h: int, test_period: int, models=None) -> str:
@@ -104,7 +109,7 @@ def horizon(keys: Sequence[str], m: int, h: int, test_period: int, models=None)
 fc AS (
   SELECT p.model, {", ".join("p." + c for c in s)}, d.ds, l.y, p.pred
   FROM pred p JOIN dates d ON d.i = (SELECT count(*) - {test_period} FROM dates) + p.step
-  JOIN levels l ON l.ds = d.ds AND {null_join("l", "p", s)})"""
+  JOIN levels l ON l.ds = d.ds AND {same_series("l", "p", s)})"""
 
 
 def mint(keys: Sequence[str], by: Sequence[str], method: str, source: str, name: str) -> str:

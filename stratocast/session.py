@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: taken from the session; a local one only for local masters."""
+    """The folder that all executors share, as the session has it: spark.checkpoint.dir or setCheckpointDir."""
     sc = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
@@ -24,13 +23,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if current is None:
             sc.setCheckpointDir(wanted)
         return wanted
-    if current:
-        return current
-    if not sc.master.startswith("local"):
+    if not current:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="stratocast-ckpt-")
-    sc.setCheckpointDir(local)
-    return local
+    return current
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application under the shared one. It owns the tables that are handed over, and goes with the
+    application: what is to stay is written elsewhere."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stratocast-{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -38,6 +45,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the loss of executors; unlike any checkpoint it does not carry the old plan's constraints, which grow
     with every step of an iteration."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stratocast-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -27,6 +28,7 @@ def session(cpus: int = 8, partitions: int = 8):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stratocast-test-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -118,3 +118,37 @@ def test_differential_evolution_beats_equal_weights():
 def test_unknown_optimiser():
     with pytest.raises(ValueError):
         optimisers.fit("magic", np.zeros(2), np.zeros((2, 2)), 1, "")
+
+
+def test_fits_are_not_clipped():
+    """A doubling series is continued as its autoregression says; the order choice takes stationary fits only."""
+    y = 2.0 ** np.arange(30)[None, :]
+    score, path = kernels._arma(y, 4, 1, 0, False, 3, 1)
+    np.testing.assert_allclose(path[0], 2.0 ** np.arange(30, 34), rtol=1e-6)
+    assert np.isinf(score[0])
+    assert np.isfinite(kernels.auto_arima(y, 4, 1)).all()
+
+
+def test_theta_adds_the_season_where_values_are_not_positive():
+    t = np.arange(72)
+    y = 10 + 0.5 * t + 20 * np.sin(t * np.pi / 6)
+    y[3] = 0
+    out = kernels.theta(y[None, :60], 12, 12)[0]
+    assert np.abs(out - y[60:]).mean() < 6
+    flat = kernels.theta(np.maximum(y[None, :60], 0.01) * 0 + y[None, :60].mean(), 12, 12)[0]
+    assert np.abs(out - y[60:]).mean() < np.abs(flat - y[60:]).mean()
+
+
+@pytest.mark.parametrize("method", optimisers.METHODS)
+def test_levels_without_a_prediction_get_no_weight(method):
+    rng = np.random.default_rng(1)
+    y = 10 + rng.random(24)
+    preds = np.column_stack([y + 1, y, y + rng.normal(size=24)])
+    preds[5, 1] = np.nan
+    w = optimisers.fit_present(method, y, preds, 20, "k")
+    assert w[1] == 0 and abs(w.sum() - 1) < 1e-9 and not np.isnan(w).any()
+    every = preds.copy()
+    every[0, 0] = every[1, 2] = np.nan
+    w = optimisers.fit_present(method, y, every, 20, "k")
+    assert abs(w.sum() - 1) < 1e-9 and w[1] > 0.5
+    np.testing.assert_allclose(optimisers.fit_present(method, y, np.full((24, 3), np.nan), 20, "k"), 1 / 3)

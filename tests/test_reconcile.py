@@ -65,11 +65,18 @@ def test_nested_and_incomplete(spark, method):
     np.testing.assert_allclose(values(out, keys, nodes, D), dense(s, yhat[D], method), atol=1e-5)
 
 
-def test_large_keys_are_joined_not_windowed(spark):
+def test_passes_need_no_window(spark):
     keys = ["a", "b", "c"]
-    df, nodes, s, yhat = frame(spark, CROSSED, keys)
-    out = reconcile.mint_balanced(df, keys, ["model"], "ols", max_group=3).collect()
-    np.testing.assert_allclose(values(out, keys, nodes, D), dense(s, yhat[D], "ols"), atol=1e-6)
+    df, *_ = frame(spark, CROSSED, keys)
+    plan = reconcile.mint_balanced(df, keys, ["model"], "ols")._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_unbalanced_input_is_refused(spark):
+    keys = ["state", "store", "cat"]
+    df, *_ = frame(spark, NESTED, keys)
+    with pytest.raises(ValueError, match="not balanced"):
+        reconcile.mint_balanced(df, keys, ["model"], "ols")
 
 
 def test_coherent_input_is_a_fixed_point(spark):
