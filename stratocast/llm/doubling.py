@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
 from stratocast.llm.common import documents, real_id
-from stratocast.llm.passages import Emit, keyed_rows, later_places, place_rows, repeated_places, seed_places, windows_of_seeds, with_places, without
+from stratocast.llm.passages import (
+    Emit,
+    keyed_rows,
+    later_copies,
+    later_places,
+    own_texts,
+    place_rows,
+    repeated_places,
+    seed_places,
+    windows_of_seeds,
+    with_all_places,
+    with_places,
+    without,
+)
 from stratocast.session import cut_lineage
 
 
@@ -28,15 +41,17 @@ def drop_windows(docs: DataFrame, length: int = 20, joined: bool = False) -> Dat
     covers whose words also start earlier: in a document with a smaller id, or further ahead in the same one.
 
     Two levels: windows of length / 2 words that represent a longer one are counted, and only where one repeats is it
-    extended to `length` words. Windows are judged on the input, not on what is left. Null ids come first; rows
+    extended to `length` words. Copies of a whole text are settled first, by a digest. Windows are judged on the input, not on what is left. Null ids come first; rows
     with the same id are compared as one document with itself, so whole copies of a row stay. Null, empty and
     shorter texts lose nothing. Other columns are not read. Equality is that of 63-bit hashes of the words' bytes.
     """
     rows = keyed_rows(docs)
+    copies = later_copies(rows)
+    own = own_texts(rows, copies)
     half = max(1, length // 2)
-    short = with_places(rows, repeated_places(place_rows(rows, seed_places(length, half), later=False)))
+    short = with_places(own, repeated_places(place_rows(own, seed_places(length, half), later=False)))
     long = place_rows(short, windows_of_seeds(length, half), later=True)
-    return without(with_places(rows, later_places(long)), length, joined)
+    return without(with_all_places(rows, copies, later_places(long)), length, joined)
 
 
 def repeated_lengths(docs: DataFrame, length: int = 20) -> DataFrame:

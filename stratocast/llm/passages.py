@@ -23,6 +23,8 @@ ROWS = "key long, kind byte, id long, th int, at int"
 NAMES = ["key", "kind", "id", "th", "at"]
 #: A place to be compared; a sign that its key occurs elsewhere; a place that its task has settled.
 OPEN, SIGN, SETTLED = 0, 1, 2
+#: Stands for all places of a document.
+EVERY = -1
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
@@ -35,6 +37,20 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(*rows, *([packed(docs, text_col).alias("rest")] if rest else []))
 
 
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(id, th, copy) of the documents whose whole text a smaller id has. All of their windows start earlier too, so
+    they need no comparison. Texts are reduced to digests before they move, and digests to their first id."""
+    texts = rows.select("id", "th", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = texts.groupBy("digest").agg(F.min("id").alias("first"))
+    return texts.join(first, "digest").where("id > first").select("id", "th").distinct().withColumn("copy", F.lit(True))
+
+
+def own_texts(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows that are no later copies. The text moves by (id, th), as it does in all joins that follow, so that
+    one shuffle of the documents serves all of them."""
+    return rows.join(copies, ["id", "th"], "left").where("copy is null").drop("copy")
+
+
 def _batch(key: np.ndarray, kind: np.ndarray, ids: np.ndarray, th: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int8)), pa.array(ids), pa.array(th.astype(np.int32)), pa.array(at.astype(np.int32))], names=NAMES)
 
@@ -157,6 +173,13 @@ def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(by_document(places), ["id", "th"], "left").select("id", "th", "text", "places", *(c for c in rows.columns if c == "rest"))
 
 
+def with_all_places(rows: DataFrame, copies: DataFrame, places: DataFrame) -> DataFrame:
+    """The same for later copies as well: their one place is EVERY."""
+    marked = rows.join(copies, ["id", "th"], "left").join(by_document(places), ["id", "th"], "left")
+    every = F.when(F.col("copy"), F.array(F.lit(EVERY))).otherwise(F.col("places"))
+    return marked.select("id", "th", "text", every.alias("places"), *(c for c in rows.columns if c == "rest"))
+
+
 Emit = Callable[[W.Words, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -187,7 +210,7 @@ def seed_places(length: int, seed: int) -> Emit:
 
     def emit(words: W.Words, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = words.hashes()
-        anchors = np.unique(W.minimisers(words, length, seed, hashes)[1])
+        anchors = W.distinct(W.minimisers(words, length, seed, hashes)[1])
         return anchors, W.windows(hashes, seed)[anchors]
 
     return emit
@@ -218,7 +241,13 @@ def without(rows: DataFrame, length: int, joined: bool) -> DataFrame:
             lists = batch.column(3).slice(low, high - low).fill_null([])
             total = len(words.starts)
             cover = np.zeros(total + 1, dtype=np.int64)
-            begin = np.unique(np.repeat(words.first[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy())
+            doc, place = np.repeat(np.arange(words.n), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            begin = W.distinct(words.first[doc[place != EVERY]] + place[place != EVERY])
+            whole = np.zeros(words.n, dtype=bool)
+            whole[doc[place == EVERY]] = True
+            if whole.any():
+                fits = np.flatnonzero(W.inside(words, length))
+                begin = W.distinct(np.concatenate([begin, fits[np.repeat(whole, words.counts)[fits]]]))
             cover[begin] += 1
             cover[begin + length] -= 1
             gone = np.cumsum(cover[:-1]) > 0

@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm.common import documents, real_id, unpacked
-from stratocast.llm.passages import keyed_rows, later_places, place_rows, repeated_places, seed_places, windows_of_seeds, with_places, without
+from stratocast.llm.passages import (
+    keyed_rows,
+    later_copies,
+    later_places,
+    own_texts,
+    place_rows,
+    repeated_places,
+    seed_places,
+    windows_of_seeds,
+    with_all_places,
+    with_places,
+    without,
+)
 
 #: Words of a passage that must repeat, and words of its suffix that are sorted first.
 LENGTH, SEED = 50, 25
@@ -23,16 +35,20 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined
     3. Matches are extended word by word: as far to the left, and to the right, as `length` words allow. Extensions
        are sorted once more, and those with an equal neighbour before them are repeats. What they cover goes.
 
+    Copies of a whole text are settled first, by a digest: all of it is earlier, and none of it is sorted.
+
     Passages are judged on the input, not on what is left. Null ids come first; rows with the same id are compared as
     one document with itself, so whole copies of a row stay. Null, empty and shorter texts lose nothing. Other columns
     are not read. Equality is that of 63-bit hashes of the words' bytes.
     """
     rows = keyed_rows(docs)
-    suffixes = place_rows(rows, seed_places(length, seed), later=False)
-    matched = with_places(rows, repeated_places(suffixes))
+    copies = later_copies(rows)
+    own = own_texts(rows, copies)
+    suffixes = place_rows(own, seed_places(length, seed), later=False)
+    matched = with_places(own, repeated_places(suffixes))
     extended = place_rows(matched, windows_of_seeds(length, seed), later=True)
     whole = keyed_rows(docs, rest=True) if rest else rows
-    return without(with_places(whole, later_places(extended)), length, joined)
+    return without(with_all_places(whole, copies, later_places(extended)), length, joined)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

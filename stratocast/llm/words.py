@@ -14,13 +14,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = [int(x) | 5 for x in _rng.integers(1 << 40, 1 << 62, 4, dtype=np.int64)]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -38,6 +38,12 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; quick where they are nearly sorted, as places are."""
+    values = np.sort(values, kind="stable")
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(31))
@@ -99,7 +105,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, space: Callable[[np.ndarra
     """The words of the texts data[offsets[d]:offsets[d + 1]]. `space` says which bytes are between words."""
     black = np.empty(len(data) + 1, dtype=bool)
     black[-1] = False
-    np.logical_not(space(data) if space else _SPACE[data], out=black[:-1])
+    np.logical_not(space(data) if space else SPACE[data], out=black[:-1])
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < len(data))]
     start = black[:-1].copy()
