@@ -124,6 +124,27 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "artifact_store_settings",
+    f"""{LEAF}, made AS (SELECT c_mktsegment AS dataset, o_orderpriority AS model, ds, CAST(sum(y) AS DOUBLE) AS y FROM leaf GROUP BY ALL)
+    SELECT 'one' AS setting, * FROM made WHERE model IN ('3-MEDIUM', '5-LOW')
+    UNION ALL SELECT 'other', * FROM made WHERE model = '1-URGENT'""",
+)
+def _(spark, sf_dir):
+    """Two settings under one root, each with its own models; a rerun with fewer models leaves none of the others."""
+    store = ArtifactStore(spark, scratch(spark))
+    rows = inputs.crossed_rows(spark, sf_dir).withColumnsRenamed({"c_mktsegment": "dataset", "o_orderpriority": "model"})
+    made = rows.groupBy("dataset", "model", "ds").agg(F.sum("y").alias("y")).withColumn("forecast_method", F.lit("level"))
+    run = lambda setting, models, rerun=False: store.of(setting).reuse(
+        "levels", lambda: made.filter(F.col("model").isin(*models)), rerun
+    )
+    run("one", ["1-URGENT", "3-MEDIUM", "5-LOW"])
+    other = run("other", ["1-URGENT"])
+    one = run("one", ["3-MEDIUM", "5-LOW"], rerun=True)
+    cols = ["setting", "dataset", "model", "ds", "y"]
+    return one.withColumn("setting", F.lit("one")).select(*cols).unionByName(other.withColumn("setting", F.lit("other")).select(*cols))
+
+
 @query(
     "experiment_grid",
     """SELECT r_name AS dataset, model, forecast_method, time_limit FROM region,

@@ -18,7 +18,7 @@ DSERIES = ["level_id", *DKEYS]
 N = len(KEYS)
 BT = f"{PANEL}, {ref.fold_forecasts(KEYS, 12, H, H)}"
 FC = f"{PANEL}, {ref.folds(H, H)}, {ref.horizon(KEYS, 12, H, H)}"
-ALL = f"{BT}, {ref.horizon(KEYS, 12, H, H).replace('hist', 'hist2').replace('step AS', 'step2 AS').replace('JOIN step', 'JOIN step2').replace('stat', 'stat2').replace('spos', 'spos2').replace('pred AS (', 'pred2 AS (').replace('FROM pred ', 'FROM pred2 ')}"
+ALL = f"{BT}, {ref.horizon(KEYS, 12, H, H).replace('hist', 'hist2').replace('step AS', 'step2 AS').replace('JOIN step', 'JOIN step2').replace('stat', 'stat2').replace('spos', 'spos2').replace('pred AS MATERIALIZED (', 'pred2 AS MATERIALIZED (').replace('FROM pred ', 'FROM pred2 ')}"
 
 
 def backtest(spark, sf_dir, names=BASELINES):
