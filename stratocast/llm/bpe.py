@@ -23,8 +23,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes from which a piece without white space counts as long, and bytes of a leaf of its tree.
 LONG, LEAF = 4096, 1024
-#: Distinct pieces that a worker remembers; beyond that it starts anew. Nothing but time depends on it.
-REMEMBER = 400_000
+#: A worker remembers pieces in two tables of 2**SLOTS places, and their ids in room for ROOM ids. Nothing but time
+#: depends on it. New pieces are given to the library so many at a time.
+SLOTS, ROOM, AT_ONCE = 18, 1 << 22, 4096
 #: Tokens on each side of a join that are encoded again at first.
 WINDOW = 4
 
@@ -35,9 +36,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _white_end(words: W.Words) -> np.ndarray:
+def _white_end(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether a word's last character may be white space to the pattern (beyond ASCII's): no cut after it."""
-    data, ends, size = words.data, words.ends, words.ends - words.starts
+    size = ends - starts
     a = data[ends - 1]
     b = data[np.maximum(ends - 2, 0)]
     c = data[np.maximum(ends - 3, 0)]
@@ -63,8 +64,12 @@ class Encoder:
         self.tokenizer.no_padding()
         self.special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self._forget()
-        self._bytes: tuple[np.ndarray, np.ndarray] | None = None
+        # a character of a name is a byte of the token, but for special tokens, which stand for their own text
+        self.bytes_of = np.array([len(n.encode()) if n in self.special else len(n) for n in self.names], dtype=np.int64)
+        self.keys = np.zeros((2, 1 << SLOTS), dtype=np.uint64)
+        self.begins = np.zeros((2, 1 << SLOTS), dtype=np.int64)
+        self.sizes = np.zeros((2, 1 << SLOTS), dtype=np.int64)
+        self.store, self.used = np.empty(ROOM, dtype=np.int32), 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,10 +77,42 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.bounds = np.zeros(1, dtype=np.int64)
-        self.store = np.zeros(0, dtype=np.int32)
+    # what is remembered: a piece that came first keeps its place in the first table; where that is taken, the second
+    # table holds the piece that came last
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - SLOTS)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+
+    def _make_room(self) -> None:
+        """Once half of the room is used, only the pieces of the first table stay, or none if they take too much."""
+        if self.used <= ROOM // 2:
+            return
+        live = np.flatnonzero(self.keys[0])
+        sizes = self.sizes[0][live]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        if total[-1] > ROOM // 4:
+            live, total = live[:0], total[:1]
+            self.keys[0] = 0
+        else:
+            moved = self.store[np.repeat(self.begins[0][live] - total[:-1], sizes) + np.arange(total[-1])]
+            self.store = np.empty(ROOM, dtype=np.int32)
+            self.store[: len(moved)] = moved
+            self.begins[0][live] = total[:-1]
+        self.used = int(total[-1])
+        self.keys[1] = 0
+
+    def _remember(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the ids of each new piece begin."""
+        begins = self.used + np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.empty(max(ROOM, 2 * len(ids)), dtype=np.int32)])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        first, second = self._places(h)
+        free = self.keys[0][first] == 0
+        for table, at, rows in ((0, first[free], free), (1, second[~free], ~free)):
+            self.keys[table][at], self.begins[table][at], self.sizes[table][at] = h[rows], begins[rows], sizes[rows]
+        return begins
 
     # encoding
 
@@ -153,46 +190,77 @@ class Encoder:
 
     def pieces(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the pieces of the texts; together they are all bytes."""
-        cuts = np.unique(np.concatenate([words.offsets, words.ends[~_white_end(words)]]))
+        cuts = W.distinct(np.concatenate([words.offsets, words.ends[~_white_end(words.data, words.starts, words.ends)]]))
         return cuts[:-1], cuts[1:]
 
+    def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes) of pieces in the order in which they were encoded. Pieces that start with white space
+        and end without may stand behind each other: the pattern cuts between them, so the library gets many as one
+        text, and the bytes of the tokens tell where each ends."""
+        last = data[ends - 1]
+        chain = W.SPACE[data[starts]] & ~W.SPACE[last] & ~_white_end(data, starts, ends) & (ends - starts < LONG)
+        order = np.concatenate([np.flatnonzero(chain), np.flatnonzero(~chain)])
+        n = int(chain.sum())
+        body = data.tobytes()
+        found, sizes = [], []
+        for k in range(0, n, AT_ONCE):
+            rows = order[k : min(k + AT_ONCE, n)]
+            text = b"".join(body[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist())).decode()
+            ids = np.array(self.plain([text])[0], dtype=np.int32)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(ends[rows] - starts[rows])) + 1
+            found.append(ids)
+            sizes.append(np.diff(np.concatenate([[0], cuts])))
+        for row in order[n:].tolist():
+            text = body[starts[row] : ends[row]].decode()
+            ids = self.long(text) if ends[row] - starts[row] >= LONG else self.plain([text])[0]
+            found.append(np.array(ids, dtype=np.int32))
+            sizes.append(np.array([len(ids)]))
+        return order, np.concatenate(found), np.concatenate(sizes)
+
     def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's ids begin and the last end)."""
         starts, ends = self.pieces(words)
-        uniq, lead, inverse = np.unique(W.range_hashes(W.CODES[words.data], starts, ends, 0), return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > REMEMBER:
-            self._forget()
-        at = np.fromiter((self.known.get(x, -1) for x in uniq.tolist()), dtype=np.int64, count=len(uniq))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            body = words.data.tobytes()
-            texts = [body[a:b].decode() for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist())]
-            found = self.plain([t if len(t) < LONG else "" for t in texts])
-            found = [self.long(t) if len(t) >= LONG else ids for t, ids in zip(texts, found)]
-            at[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(uniq[new].tolist(), at[new].tolist()))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in found])])
-            self.store = np.concatenate([self.store, np.array([x for ids in found for x in ids], dtype=np.int32)])
-        at = at[inverse]
-        sizes = self.bounds[at + 1] - self.bounds[at]
+        h = W.range_hashes(W.CODES[words.data], starts, ends, 0)
+        self._make_room()
+        first, second = self._places(h)
+        in_first, in_second = self.keys[0][first] == h, self.keys[1][second] == h
+        begins = np.where(in_first, self.begins[0][first], self.begins[1][second])
+        sizes = np.where(in_first, self.sizes[0][first], self.sizes[1][second])
+        missing = np.flatnonzero(~(in_first | in_second))
+        if len(missing):
+            uniq, lead, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            lead = missing[lead]
+            order, found, each = self._new(words.data, starts[lead], ends[lead])
+            at = np.empty(len(uniq), dtype=np.int64)
+            size = np.empty(len(uniq), dtype=np.int64)
+            at[order], size[order] = self._remember(uniq[order], found, each), each
+            begins[missing], sizes[missing] = at[inverse], size[inverse]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.store[np.repeat(self.bounds[at] - total[:-1], sizes) + np.arange(total[-1])]
+        ids = self.store[np.repeat(begins - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, words.offsets)]
 
-    # decoding
 
-    def byte_table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all tokens one after the other, where each begins). The byte characters are those that the
-        vocabulary's decoder reads; a special token stands for its own text."""
-        if self._bytes is None:
-            alphabet = byte_characters()
-            parts = [n.encode() if n in self.special else bytes(alphabet[c] for c in n) for n in self.names]
-            self._bytes = np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return self._bytes
+class Decoder:
+    """The bytes of each token of a vocabulary file, one after the other. The byte characters are those that the
+    vocabulary's decoder reads; a special token stands for its own text."""
+
+    _open: dict[str, Decoder] = {}
+
+    def __init__(self, path: str):
+        vocabulary, alphabet = Encoder(path), byte_characters()
+        parts = [n.encode() if n in vocabulary.special else bytes(alphabet[c] for c in n) for n in vocabulary.names]
+        self.flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.table = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    @classmethod
+    def of(cls, path: str) -> Decoder:
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The text of each run ids[bounds[k]:bounds[k + 1]]; bytes that are no UTF-8 become U+FFFD."""
-        flat, table = self.byte_table()
+        flat, table = self.flat, self.table
         sizes = table[ids + 1] - table[ids]
         total = np.concatenate([[0], np.cumsum(sizes)])
         body = flat[np.repeat(table[ids] - total[:-1], sizes) + np.arange(total[-1])].tobytes()
@@ -304,12 +372,12 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
+        decoder = Decoder.of(path)
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
             lists = part.column(2)
             bounds = np.concatenate([[0], np.cumsum(lists.fill_null([]).value_lengths().to_numpy())])
-            texts = encoder.decode(lists.flatten().to_numpy().astype(np.int64), bounds)
+            texts = decoder.decode(lists.flatten().to_numpy().astype(np.int64), bounds)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], names=["id", "th", "token_ids", "decoded"])
 
     return map_arrow(tokens.select("id", "th", "token_ids"), work, "id long, th long, token_ids array<int>, decoded string")
