@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, keyed, map_arrow, real_id, text_of, unpacked
+from stratocast.llm.common import documents, id_key, keyed, map_arrow, real_id, text_of, unpacked
 
 #: Words of a seed, which is the shortest tile, and the share of an item's words that makes it a leak.
 SEED, COVERAGE = 4, 0.5
@@ -208,7 +208,7 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([doc.astype(np.uint64), grams], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.uint64)
             doc = low + pairs[:, 0].astype(np.int64)
             size = np.diff(words.first)[doc - low]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[doc]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[doc]), pa.array(size)], names=["gram", "id", "th", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), *(batch.column(c).take(pa.array(doc)) for c in (0, 1)), pa.array(size)], names=["gram", "id", "th", "size"])
 
     def tile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs = [w.hashes() for k in range(batch.num_rows) for _, _, w in plain_words(batch.column(2).slice(k, 1))]
@@ -221,7 +221,7 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
         yield _rows(out)
 
     schema = "gram long, id long, th long, size long"
-    named = items.select(F.col("id").alias("item_id"), F.xxhash64("text").alias("item_th"), F.col("text").alias("item_text"))
+    named = items.select(id_key("id").alias("item_id"), F.xxhash64("text").alias("item_th"), F.col("text").alias("item_text"))
     seeds = map_arrow(named.select("item_id", "item_th", "item_text"), grams_of, schema).toDF("gram", "item_id", "item_th", "size")
     found = map_arrow(rows, grams_of, schema).select("gram", "id", "th").join(seeds.select("gram", "item_id", "item_th"), "gram")
     # a leak shares so many different seeds with the item, unless the item repeats itself
@@ -230,7 +230,7 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     least = F.ceil(F.col("size") * COVERAGE / SEED) - (F.col("size") - SEED + 1 - F.col("own"))
     pairs = hits.where(F.col("hits") >= least).select("id", "th", "item_id", "item_th")
     met = pairs.join(rows, ["id", "th"]).join(named, ["item_id", "item_th"])
-    return map_arrow(met.select("id", "th", "text", "item_id", "item_text"), tile, SCHEMA)
+    return map_arrow(met.select("id", "th", "text", "item_id", "item_text"), tile, SCHEMA).withColumn("item_id", real_id("item_id"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, send_chars: int = SEND_CHARS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
