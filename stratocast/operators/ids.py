@@ -7,39 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocast.session import cut_lineage
+
 
 def dense_ids(dim: DataFrame, keys: Sequence[str], name: str = "ts_id", first: int = 1, ranges: int | None = None):
-    """Rank of every distinct key tuple in key order.
+    """Rank of every distinct key tuple in key order, as an int; more tuples than an int has raise an error.
 
-    The tuples with the smallest hashes are a fair sample of the key space; they cut it into ranges. A
-    range's offset is the size of the ranges before it, and the rank inside the range is a partitioned
-    window. Every step is a function of the data alone, so recomputed tasks agree.
+    The tuples are dealt by ranges of the key and sorted in their task. A tuple's id is its place in the task and the
+    sizes of the tasks before. The ranges are sampled anew in every run, so the dealt tuples are written first.
     """
-    spark = dim.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*keys)
-    dim = dim.select(*keys).distinct()
-    cuts = (
-        dim.select(key.alias("k"), F.xxhash64(*keys).alias("h"))
-        .orderBy("h", "k")
-        .limit(ranges)
-        .agg(F.sort_array(F.collect_list("k")).alias("cuts"))
-    )
-    placed = (
-        dim.withColumn("_cuts", cuts.scalar())
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key)))
-        .drop("_cuts")
-    )
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
-    # one row per range: at most `ranges + 1` rows
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_range").orderBy(*keys)
-    return (
-        placed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_range")
-        .select(*keys, (F.col("_offset") + F.col("_rn") + (first - 1)).cast("int").alias(name))
-    )
+    tuples = dim.select(*keys).distinct()
+    dealt = tuples.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*keys)
+    dealt = cut_lineage(dealt.withColumns({"_place": F.monotonically_increasing_id(), "_task": F.spark_partition_id()}))
+    sizes = dealt.groupBy("_task").agg(F.count("*").alias("n"), F.min("_place").alias("_low"))
+    # one row per task
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_task", "_low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.col("_place") - F.col("_low") + first
+    return dealt.join(offsets, "_task").select(*keys, place.cast("int").alias(name))
 
 
 def attach_series_id(

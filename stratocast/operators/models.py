@@ -347,15 +347,8 @@ def null_safe_on(cols: Sequence[str], left: str, right: str) -> Column:
     return cond
 
 
-def _bounded(choice: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A choice per level (or one for all) has at most models x levels rows and is broadcast, so forecasts are
-    not shuffled by a handful of models. A choice per series grows with the data and is left to the planner."""
-    return F.broadcast(choice) if set(by) <= {"level_id"} else choice
-
-
 def choose_forecasts(forecasts: DataFrame, best: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """Forecasts of the chosen model of each group, relabelled as one model."""
-    best = _bounded(best, by)
     if by:
         cond = null_safe_on([*by, "model"], "f", "b")
         out = forecasts.alias("f").join(best.alias("b"), cond, "left_semi")

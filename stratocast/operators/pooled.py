@@ -100,8 +100,7 @@ def pooled_forecast(
     if mode == "global":  # the same coefficients for every level
         top = (1 << (len(series) - 1 - len([c for c in fold if c in series]))) - 1
         coefs = coefs.select(*fold, F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level_id"), "coef")
-    # one row per fold and level: at most folds x 2^keys
-    both = histories.alias("h").join(F.broadcast(coefs.alias("c")), null_safe_on(on, "h", "c"), "left")
+    both = histories.alias("h").join(coefs.alias("c"), null_safe_on(on, "h", "c"), "left")
     return both.select(
         "h.*", roll_forward(F.col(f"h.{hist}"), F.col("coef"), lags, h).cast(f"array<{PRED_TYPE}>").alias("pred")
     )

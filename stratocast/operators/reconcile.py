@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratocast.operators.hierarchy import cube_levels, has_key
 from stratocast.operators.models import PRED_TYPE, null_safe_on
-from stratocast.session import cut_lineage
+from stratocast.session import SMALL, cut_lineage
 
 METHODS = ("BottomUp", "MinTrace_method-wls_struct", "MinTrace_method-ols")
 
@@ -109,8 +109,9 @@ def mint_cg(
     state = cut_lineage(
         rhs.select(*ident, *keys, F.lit(0.0).alias("x"), F.col("q").alias("r"), F.col("q").alias("p"))
     )
-    first = state.groupBy(*ident).agg(F.sum(F.col("r") * F.col("r")).alias("rho0"))
-    state = _with(state, first, ident)
+    first = cut_lineage(state.groupBy(*ident).agg(F.sum(F.col("r") * F.col("r")).alias("rho0")))
+    few = first.limit(SMALL + 1).count() <= SMALL
+    state = _with(state, first, ident, few)
     for _ in range(max_iter):
         nodes = up(state, "p")
         state = cut_lineage(_to_leaves(state, weigh(nodes), keys, by, ["x", "r", "p", "rho0"]))
@@ -126,7 +127,7 @@ def mint_cg(
         done = F.col("rho") <= tol * tol * F.col("rho0")
         s = s.withColumn("beta", F.when(done, None).otherwise(F.try_divide(F.col("rho"), F.col("rr"))))
         r = F.col("r") - F.col("alpha") * F.col("q")
-        state = _with(state, s.select(*ident, "alpha", "beta"), ident).select(
+        state = _with(state, s.select(*ident, "alpha", "beta"), ident, few).select(
             *ident, *keys, "rho0", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"), r.alias("r"),
             F.when(F.col("beta").isNull(), 0.0).otherwise(r + F.col("beta") * F.col("p")).alias("p"),
         )
@@ -139,10 +140,11 @@ def mint_cg(
     )
 
 
-def _with(df: DataFrame, scalars: DataFrame, ident: Sequence[str]) -> DataFrame:
-    """Attach per-system scalars: one row per experiment and horizon date, whatever the number of leaves, so
-    they are broadcast and the leaves of a date stay spread out."""
-    return df.alias("a").join(F.broadcast(scalars.alias("b")), null_safe_on(ident, "a", "b")).select(
+def _with(df: DataFrame, scalars: DataFrame, ident: Sequence[str], few: bool) -> DataFrame:
+    """Attach per-system scalars: one row per experiment and horizon date, whatever the number of leaves. If they
+    are few they are broadcast, and the leaves of a date stay spread out."""
+    b = scalars.alias("b")
+    return df.alias("a").join(F.broadcast(b) if few else b, null_safe_on(ident, "a", "b")).select(
         "a.*", *[F.col(f"b.{c}") for c in scalars.columns if c not in ident]
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocast.operators import calendar, folds, hierarchy, joins, kernels, metrics, models, pooled, reconcile, weights
+from stratocast.operators import calendar, folds, hierarchy, joins, kernels, metrics, models, optimisers, pooled, reconcile, weights
 from stratocast.operators.models import BASELINES, PRED_TYPE
 from stratocast.plans import experiment, inputs
 from stratocast.plans import reference_sql as ref
@@ -197,7 +197,7 @@ def _(spark, sf_dir):
     include, exclude = ["Naive", "SeasonalAverage", "Average", "AutoETS"], "Average"
     names = models.model_names(include, exclude, max_tier=1)
     chosen = models.model_filter(models.model_table(spark), include, exclude, max_tier=1)
-    return models.leaderboard(backtest(spark, sf_dir, names)).join(F.broadcast(chosen.select("model")), "model")
+    return models.leaderboard(backtest(spark, sf_dir, names)).join(chosen.select("model"), "model")
 
 
 @query("leaderboard", f"{BT}, {LBOARD} SELECT * FROM lboard")
@@ -732,3 +732,68 @@ def _(spark, sf_dir):
         remove_groups=(False, True), time_limit=600,
     )
     return experiment_metrics(spark, sf_dir, cfg)
+
+
+# ---- what holds for models and searches that have no SQL twin ----
+
+SEARCHED = ("Theta", "AutoETS", "AutoARIMA")
+
+
+@query(
+    "searched_models_cover",
+    f"""{PANEL}, {ref.folds(H, H)}, names AS (SELECT unnest({[*SEARCHED, "PooledLags"]}) AS model)
+    SELECT model, level_id, count(*) AS n_rows, count(*) AS n_finite FROM levels l JOIN dates d ON l.ds = d.ds, names
+    WHERE d.i > (SELECT n FROM train_n) GROUP BY model, level_id""",
+)
+def _(spark, sf_dir):
+    """Every series of every level gets a finite forecast for every held-out month."""
+    some = forecasts(spark, sf_dir, SEARCHED).select("model", *SERIES, "ds", "pred")
+    lags = pooled_forecasts(spark, sf_dir, "global").select(F.lit("PooledLags").alias("model"), *SERIES, "ds", "pred")
+    value = F.col("pred").cast("double")
+    finite = F.count(F.when(F.abs(value) < F.lit(float("inf")), value))
+    return some.unionByName(lags).groupBy("model", "level_id").agg(F.count("*").alias("n_rows"), finite.alias("n_finite"))
+
+
+@query(
+    "weights_sound",
+    f"""SELECT model, optim_method, CAST(1 AS DOUBLE) AS total, true AS in_range, true AS known_levels
+    FROM (SELECT unnest({[*FITTED, "AutoETS"]}) AS model), (SELECT unnest({list(optimisers.METHODS)}) AS optim_method)""",
+)
+def _(spark, sf_dir):
+    """The weights of each search sum to one, lie in (0, 1] and belong to levels of the panel."""
+    c = weights.candidates(totals(spark, sf_dir, [*FITTED, "AutoETS"]), ["model"], N)
+    w = weights.fit_weights(c, ["model"], N, optimisers.METHODS, rounds=200)
+    return w.groupBy("model", "optim_method").agg(
+        F.round(F.sum("weight"), 9).alias("total"),
+        F.bool_and((F.col("weight") > 0) & (F.col("weight") <= 1 + 1e-9)).alias("in_range"),
+        F.bool_and(F.col("level_id").between(0, (1 << N) - 1)).alias("known_levels"),
+    )
+
+
+@query(
+    "pooled_equations_hold",
+    f"""{PANEL}, {ref.folds(H, H)} SELECT level_id, true AS solved FROM (SELECT DISTINCT level_id FROM levels)""",
+)
+def _(spark, sf_dir):
+    """The coefficients of each level's pooled model leave residuals that no lag explains: the normal equations hold."""
+    lags = [1, 2, 3, 12]
+    train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
+    rows = pooled.lag_features(train, ["level_id"], "y", lags)
+    coefs = pooled.solve(pooled.gram(rows, ["level_id"], 5), ["level_id"], 5)
+    fit = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    resid = rows.join(coefs, "level_id").withColumn("e", F.col("z") - fit)
+    sums = [F.abs(F.sum(F.col("e") * F.col("x")[i])) / F.sum(F.abs(F.col("z") * F.col("x")[i])) for i in range(5)]
+    return resid.groupBy("level_id").agg((F.greatest(*sums) < 1e-4).alias("solved"))
+
+
+@query(
+    "run_experiment_grid",
+    f"""SELECT model AS forecast_model, way AS forecast_method, optim_method, metric, 6 AS n_methods, 6 AS n_values
+    FROM (VALUES ('SeasonalAverage', 'global'), ('Theta', 'global'), ('Leaderboard', 'global'), ('Leaderboard', 'level')) a(model, way),
+      (SELECT unnest({list(optimisers.METHODS)}) AS optim_method), (SELECT unnest(['MASE', 'WAPE', 'RMSSE', 'SMAPE']) AS metric)""",
+)
+def _(spark, sf_dir):
+    """A whole run scores every method of every experiment in every metric."""
+    cfg = experiment.Settings(models=("SeasonalAverage", "Theta", experiment.LEADERBOARD), forecast_methods=("global", "level"))
+    out = experiment_metrics(spark, sf_dir, cfg).groupBy("forecast_model", "forecast_method", "optim_method", "metric")
+    return out.agg(F.count_distinct("method").cast("int").alias("n_methods"), F.count("value").cast("int").alias("n_values"))

@@ -12,6 +12,8 @@ from stratocast.spec import PanelSpec
 CROSSED = PanelSpec("crossed", ("r_name", "c_mktsegment", "o_orderpriority"), "ME")
 # A nested pair of keys and a crossed one, monthly.
 NESTED = PanelSpec("nested", ("r_name", "n_name", "c_mktsegment"), "ME")
+# Crossed keys whose number of series grows with the data, monthly.
+WIDE = PanelSpec("wide", ("l_suppkey", "l_returnflag", "l_linestatus"), "ME")
 # Daily.
 DAILY = PanelSpec("daily", ("event_type", "user_group"), "D")
 
@@ -50,6 +52,16 @@ def nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_rows(spark, sf_dir).select(*NESTED.keys, "ds", "y")
 
 
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("l_suppkey"),
+        "l_returnflag",
+        "l_linestatus",
+        F.last_day("l_shipdate").alias("ds"),
+        F.col("l_extendedprice").cast(MONEY).alias("y"),
+    )
+
+
 def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_type",

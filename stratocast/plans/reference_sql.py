@@ -10,6 +10,11 @@ ROWS = """rows_ AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+WIDE_ROWS = """rows_ AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS l_suppkey, l_returnflag, l_linestatus, last_day(CAST(l_shipdate AS DATE)) AS ds,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS y
+  FROM lineitem)"""
+
 DAILY_ROWS = """rows_ AS (
   SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS user_group, CAST(ts AS DATE) AS ds,
          CAST(value AS DECIMAL(18,2)) AS y

@@ -40,6 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Rows up to which a counted table is sent to every task.
+SMALL = 100_000
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written to a table in the shared folder and read back. Unlike a local checkpoint it survives
     the loss of executors; unlike any checkpoint it does not carry the old plan's constraints, which grow
