@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, id_key, keyed, map_arrow, real_id, text_of, unpacked
+from stratocast.llm.common import documents, id_key, keyed, map_arrow, real_id, text_of, unpacked, without_rows
 
 #: Words of a seed, which is the shortest tile, and the share of an item's words that makes it a leak.
 SEED, COVERAGE = 4, 0.5
@@ -257,5 +257,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without leaks, with all their columns."""
-    found = leaks(docs, benchmark).select("id", "th").distinct()
-    return keyed(docs, rest=True).join(found, ["id", "th"], "left_anti").select(*unpacked(docs))
+    return without_rows(keyed(docs, rest=True), leaks(docs, benchmark)).select(*unpacked(docs))

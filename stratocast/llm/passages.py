@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stratocast.llm import words as W
-from stratocast.llm.common import id_key, map_arrow, packed, text_of
+from stratocast.llm.common import id_key, map_arrow, packed, salted_join, text_of
 
 ROWS = "key long, kind byte, id long, th int, at int"
 NAMES = ["key", "kind", "id", "th", "at"]
@@ -39,10 +39,11 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def later_copies(rows: DataFrame) -> DataFrame:
     """(id, th, copy) of the documents whose whole text a smaller id has. All of their windows start earlier too, so
-    they need no comparison. Texts are reduced to digests before they move, and digests to their first id."""
+    they need no comparison. Texts are reduced to digests before they move, and digests to their first id; a digest
+    that very many documents have is spread over tasks."""
     texts = rows.select("id", "th", F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = texts.groupBy("digest").agg(F.min("id").alias("first"))
-    return texts.join(first, "digest").where("id > first").select("id", "th").distinct().withColumn("copy", F.lit(True))
+    first = texts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
+    return salted_join(texts, first.drop("last"), "digest", "id").where("id > first").select("id", "th").distinct().withColumn("copy", F.lit(True))
 
 
 def own_texts(rows: DataFrame, copies: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked
+from stratocast.llm.common import documents, keyed, map_arrow, real_id, salted_join, unpacked, without_rows
 from stratocast.llm.components import HOLD, components, forest
 from stratocast.llm.xxh import xxh64
 from stratocast.session import cut_lineage
@@ -202,29 +202,31 @@ def near_copies(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_
     """(id, th, fp, component): each row's fingerprint and the smallest id that it reaches over links, its own
     included. Rows without words have fingerprint zero and link like others. Null ids count as the lowest id and
     come back as null in `op3`; rows that repeat an id are rows of their own. No rows give no rows. Equal
-    fingerprints are one node, so copies are never paired."""
+    fingerprints are one node, so copies are never paired; the rows of a node are spread over tasks."""
     rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     tops = components(links(nodes))
     known = tops.join(nodes, tops.node == nodes.fp).select("fp", "root", "low")
     lowest = known.groupBy("root").agg(F.min("low").alias("component"))
     linked = known.join(lowest, "root").select("fp", "component")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
-    return rows.join(named, "fp").select("id", "th", "fp", "component")
+    named = nodes.join(linked, "fp", "left").where("component is not null or low < high").select("fp", F.coalesce("component", "low").alias("component"))
+    # a fingerprint without a row here is one document's alone
+    return salted_join(rows, named, "fp", "id", "left").select("id", "th", "fp", F.coalesce("component", "id").alias("component"))
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays (of rows that repeat
     that id the one with the smallest hash of the text, and of whole copies of that row one). All columns stay. Texts
-    without words are one group. The documents are moved once, to meet the short list of those that stay."""
+    without words are one group. The documents do not move if the list of those that go is short."""
     found = cut_lineage(near_copies(docs, shingle))
     chosen = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
-    times = found.groupBy("id", "th").agg(F.count("*").alias("times"))
-    kept = cut_lineage(chosen.join(times, ["id", "th"]))
-    rows = keyed(docs, rest=True)
-    once = rows.join(kept.where("times = 1").select("id", "th"), ["id", "th"], "left_semi")
-    more = rows.join(kept.where("times > 1").select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    return once.unionByName(more).select(*unpacked(docs))
+    rows = without_rows(keyed(docs, rest=True), found.join(chosen, ["id", "th"], "left_anti"))
+    # whole copies of a row that stays
+    repeated = cut_lineage(found.groupBy("id", "th").agg(F.count("*").alias("times")).where("times > 1").join(chosen, ["id", "th"]).select("id", "th"))
+    if not repeated.isEmpty():
+        once = without_rows(rows, repeated)
+        rows = once.unionByName(rows.join(repeated, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    return rows.select(*unpacked(docs))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

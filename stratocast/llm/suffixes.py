@@ -41,14 +41,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined
     one document with itself, so whole copies of a row stay. Null, empty and shorter texts lose nothing. Other columns
     are not read. Equality is that of 63-bit hashes of the words' bytes.
     """
-    rows = keyed_rows(docs)
+    rows = keyed_rows(docs, rest=rest)  # in all steps, so that they share one shuffle of the documents
     copies = later_copies(rows)
     own = own_texts(rows, copies)
     suffixes = place_rows(own, seed_places(length, seed), later=False)
     matched = with_places(own, repeated_places(suffixes))
     extended = place_rows(matched, windows_of_seeds(length, seed), later=True)
-    whole = keyed_rows(docs, rest=True) if rest else rows
-    return without(with_all_places(whole, copies, later_places(extended)), length, joined)
+    return without(with_all_places(rows, copies, later_places(extended)), length, joined)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

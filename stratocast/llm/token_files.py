@@ -16,6 +16,7 @@ alone, and so any document.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from pyspark.sql.window import Window
 
 from stratocast.llm import words as W
 from stratocast.llm.bpe import Encoder, default_path
-from stratocast.llm.common import documents, id_key, map_arrow, real_id, text_of
-from stratocast.session import checkpoint_dir, cut_lineage
+from stratocast.llm.common import bound_batches, documents, id_key, map_arrow, real_id, text_of
+from stratocast.session import cut_lineage, shared_folder
 
 MAGIC, VERSION = b"PFOR", 1
 BLOCK = 1024
@@ -141,16 +142,18 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 0, path: str |
     Each task writes files of about FILE_IDS ids. A file gets its name only when it is whole, and a repeated task
     writes the same files again; only what is on the list counts. Null ids come first, as -2**63; null texts are
     empty, so have the end id alone; rows that repeat an id follow each other; no rows give no files. The folder is a
-    URI that all executors can write to.
+    URI that all executors can write to, of a kind that Arrow's file systems know (s3a: is taken for s3:).
     """
     path = path or default_path()
     rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     dealt = rows.withColumn("salt", F.rand(11)).repartitionByRange("id", "th", "salt").drop("salt").sortWithinPartitions("id", "th")
 
+    bound_batches(docs.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
         context = TaskContext.get()
         encoder, part = Encoder.of(path), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -210,6 +213,6 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     files = write_token_files(documents(spark, sf_dir), folder)
     return read_token_files(spark, folder, files).select(real_id().alias("doc_id"), "start", "n_tokens", "ids_crc32")
