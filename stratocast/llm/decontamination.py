@@ -24,7 +24,7 @@ SEED, COVERAGE = 4, 0.5
 #: Characters and rows of a benchmark that is sent to every task whole; a larger one is joined.
 SEND_CHARS, SEND_ITEMS = 16 << 20, 200_000
 #: Bits of the filter of seeds, whatever the benchmark's size.
-FILTER_BITS = 24
+FILTER_BITS = 21
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
