@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
-from stratocast.llm.common import documents, keyed, map_arrow, real_id, salted_join, unpacked, without_rows
-from stratocast.llm.components import HOLD, components, forest
-from stratocast.llm.xxh import xxh64
+from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked, without_rows
+from stratocast.llm.components import HOLD, forest, grouped
+from stratocast.llm.shingles import shingles_of
+from stratocast.llm.similar import similar_groups
 from stratocast.session import cut_lineage
 
-SEED = 42
 DISTANCE = 4
 #: Segments of the ring as (first bit, bits).
 RING = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -31,20 +31,13 @@ HALVES = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3))
 #: Fingerprints of one key that are compared in one task; larger keys are cut into blocks and compared by pairs of blocks.
 BLOCK = 2048
 
-_TO_LOWER = np.arange(256, dtype=np.uint8)
-_TO_LOWER[65:91] += 32
 _LANES = np.uint64(0x0101010101010101)
 
 
 def fingerprints_of(words: W.Words, shingle: int) -> np.ndarray:
     """One unsigned fingerprint for each text; zero for a text without words."""
-    text, starts, ends = words.joined()
-    counts = words.counts
-    runs = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
+    h, runs = shingles_of(words, shingle)
     bound = np.concatenate([[0], np.cumsum(runs)])
-    first = np.repeat(words.first[:-1] - bound[:-1], runs) + np.arange(bound[-1])
-    last = np.minimum(first + shingle, np.repeat(words.first[1:], runs)) - 1
-    h = xxh64(_TO_LOWER[text], starts[first], ends[last], SEED)
 
     # sums of bits: eight byte counters in a word, over blocks of at most 255 shingles of a text
     blocks = -(-runs // 255)
@@ -204,21 +197,14 @@ def near_copies(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_
     come back as null in `op3`; rows that repeat an id are rows of their own. No rows give no rows. Equal
     fingerprints are one node, so copies are never paired; the rows of a node are spread over tasks."""
     rows = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    tops = components(links(nodes))
-    known = tops.join(nodes, tops.node == nodes.fp).select("fp", "root", "low")
-    lowest = known.groupBy("root").agg(F.min("low").alias("component"))
-    linked = known.join(lowest, "root").select("fp", "component")
-    named = nodes.join(linked, "fp", "left").where("component is not null or low < high").select("fp", F.coalesce("component", "low").alias("component"))
-    # a fingerprint without a row here is one document's alone
-    return salted_join(rows, named, "fp", "id", "left").select("id", "th", "fp", F.coalesce("component", "id").alias("component"))
+    return grouped(rows, links)
 
 
 def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays (of rows that repeat
     that id the one with the smallest hash of the text, and of whole copies of that row one). All columns stay. Texts
     without words are one group. The documents do not move if the list of those that go is short."""
-    found = cut_lineage(near_copies(docs, shingle))
+    found = cut_lineage(similar_groups(docs, shingle))
     chosen = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
     rows = without_rows(keyed(docs, rest=True), found.join(chosen, ["id", "th"], "left_anti"))
     # whole copies of a row that stays

@@ -1,0 +1,71 @@
+import random
+
+import pytest
+from tables import SF, awkward, frame, words
+from test_simhash import LOWER
+
+from stratocast.llm import similar, simhash
+from stratocast.llm.common import NULL_ID, documents
+
+
+def plain_set(text, shingle=5):
+    w = words((text or "").translate(LOWER))
+    return frozenset(" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+
+
+def plain_groups(rows):
+    """The smallest id that each row reaches over pairs of similarity 0.8 or more."""
+    sets = [plain_set(t) for _, t in rows]
+    low = [NULL_ID if i is None else i for i, _ in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while True:
+        before = list(low)
+        for a, b in near:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            return low
+
+
+def edited(seed):
+    """Texts with copies in which some words are others, from hardly any to many, and a passage that most share."""
+    rng = random.Random(seed)
+    own = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shared, out = own(30), []
+    for _ in range(12):
+        base = own(rng.randint(40, 300)) + shared
+        out.append(base)
+        for share in (0.002, 0.01, 0.02, 0.025, 0.03, 0.05):
+            out.append([x if rng.random() > share else "Other" for x in base])
+        out.append(base[: int(len(base) * 0.85)])
+    return [(k, " ".join(x)) for k, x in enumerate(out)]
+
+
+@pytest.mark.parametrize("common", [4, 10**9])
+@pytest.mark.parametrize("send", [similar.SEND_KEYS, -1])
+def test_all_similar_pairs_are_found(spark, monkeypatch, common, send):
+    monkeypatch.setattr(similar, "COMMON", common)
+    rows = edited(1) + [(500 + k, t) for k, t in edited(2)[:20]]
+    got = similar.similar_groups(frame(spark, rows), send=send).collect()
+    assert {r.id: r.component for r in got} == dict(zip((i for i, _ in rows), plain_groups(rows)))
+
+
+@pytest.mark.parametrize("part", [0, 1500, similar.PART])
+def test_pairs_from_a_full_list_of_candidates(spark, monkeypatch, part):
+    monkeypatch.setattr(similar, "HOLD", 8)
+    monkeypatch.setattr(similar, "PART", part)
+    rows = edited(3)
+    got = similar.similar_groups(frame(spark, rows)).collect()
+    assert {r.id: r.component for r in got} == dict(zip((i for i, _ in rows), plain_groups(rows)))
+
+
+def test_awkward_rows(spark):
+    rows = awkward()
+    got = similar.similar_groups(frame(spark, rows)).collect()
+    assert sorted((r.id, r.component) for r in got) == sorted(zip((NULL_ID if i is None else i for i, _ in rows), plain_groups(rows)))
+
+
+def test_stage_drops_near_copies_far_in_fingerprint(spark):
+    """Of the given table: what is 0.8 alike goes, though fingerprints differ in over 4 bits; what is less stays."""
+    rows = [(r.doc_id, r.text) for r in documents(spark, SF).collect()]
+    out = simhash.first_of_groups(documents(spark, SF), shingle=5)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(plain_groups(rows)))
