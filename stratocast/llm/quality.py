@@ -16,7 +16,7 @@ from stratocast.llm.common import documents, map_arrow, packed, text_of, unpacke
 #: Fixed values.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = ("|", ">", "<", "*", "-", "/", "·", "»", "›", "•", "→")
-#: Lines that hold one of these are boilerplate (lower case).
+#: Lines that are short or largely made up of these are boilerplate (lower case, whole words or their plural).
 PHRASES = (
     "javascript", "cookie", "lorem ipsum", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "sign in", "log in", "subscribe", "click here", "read more", "share this",
@@ -34,6 +34,8 @@ class Rules:
     max_upper_share: float = 0.6
     min_upper_letters: int = 12
     max_lost_share: float = 0.5
+    short_line: int = 20
+    max_phrase_share: float = 0.2
 
 
 def _member(values: bytes) -> np.ndarray:
@@ -44,6 +46,10 @@ def _member(values: bytes) -> np.ndarray:
 
 _SYMBOL, _PUNCT = _member(SYMBOLS), _member(bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum()))
 _UPPER, _LOWER = _member(bytes(range(65, 91))), _member(bytes(range(97, 123)))
+_LETTER = _member(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
+#: First bytes of characters beyond ASCII that are letters of words with spaces between them; U+0080 to U+00BF and what
+#: comes from U+2000 on, punctuation and scripts without spaces, bound a word.
+_LETTER_LEAD = _member(bytes(range(0xC3, 0xE2)))
 _TO_LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
@@ -85,6 +91,35 @@ def _separator_words(words: W.Words) -> np.ndarray:
     return out
 
 
+def _phrase_words(words: W.Words, line_starts: np.ndarray) -> np.ndarray:
+    """Whether each word belongs to a phrase that stands between word bounds in one line: no letter or digit is next
+    to it, but for the s of a plural."""
+    out = np.zeros(len(words.starts), dtype=bool)
+    flat = words.data.tobytes().translate(_TO_LOWER)
+
+    def letter_before(k: int, low: int) -> bool:
+        at = k - 1
+        while at > low and flat[at] & 0xC0 == 0x80:
+            at -= 1
+        return k > low and bool(_LETTER[flat[at]] or _LETTER_LEAD[flat[at]])
+
+    def letter_at(k: int, stop: int) -> bool:
+        return k < stop and bool(_LETTER[flat[k]] or _LETTER_LEAD[flat[k]])
+
+    for phrase in PHRASES:
+        code, k = phrase.encode(), 0
+        while (k := flat.find(code, k)) >= 0:
+            end = k + len(code)
+            line = int(np.searchsorted(line_starts, k, side="right"))
+            # texts stand one after the other without a gap, and each starts a line
+            stop = int(line_starts[line]) if line < len(line_starts) else len(flat)
+            close = end + 1 if flat[end : end + 1] == b"s" and end < stop else end
+            if end <= stop and not letter_before(k, int(line_starts[line - 1])) and not letter_at(close, stop):
+                out[np.searchsorted(words.ends, k, side="right") : np.searchsorted(words.starts, end)] = True
+            k = end
+    return out
+
+
 @dataclass
 class Judged:
     """Base counts of each text, and its lines with the verdict on each."""
@@ -148,14 +183,9 @@ def judge(words: W.Words, rules: Rules) -> Judged:
     upper, lower = _sums(_UPPER[data]), _sums(_LOWER[data])
     up, low = upper[ends] - upper[starts], lower[ends] - lower[starts]
     shouting = (up >= rules.min_upper_letters) & (up > rules.max_upper_share * (up + low))
-    boilerplate = np.zeros(len(starts), dtype=bool)
-    flat = data.tobytes().translate(_TO_LOWER)
-    for phrase in PHRASES:
-        code, k = phrase.encode(), 0
-        while (k := flat.find(code, k)) >= 0:
-            line = int(np.searchsorted(starts, k, side="right")) - 1
-            boilerplate[line] |= k + len(code) <= ends[line]
-            k += len(code)
+    phrase = _sums(_phrase_words(words, starts))
+    phrases = phrase[w_to] - phrase[w_from]
+    boilerplate = (phrases > 0) & ((n_line <= rules.short_line) | (phrases > rules.max_phrase_share * n_line))
     kept = ~full | ~(unfinished | symbol_share | navigation | shouting | boilerplate | repeated)
 
     def per_text(sums: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -176,7 +206,8 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     """One row per document: counts, verdict, and the text of the lines that pass.
 
     A line without words always passes. A line fails in which no word ends with sentence punctuation, that is rich in symbols or
-    separators, mostly capitals, holds a boilerplate phrase, or equals an earlier line of the document. A document
+    separators, mostly capitals, holds a boilerplate phrase and is short or has a large share of its words in such phrases, or
+    equals an earlier line of the document. A document
     fails with fewer than 10 words, with over 20 % of its words in repeated 5-word windows, or when lines with more
     than `rules.max_lost_share` of its words fail. Null and empty texts have no words and fail; ids may be null or
     repeat, every row is judged alone; other columns are not read. `clean=False` leaves `cleaned` null.

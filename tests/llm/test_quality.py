@@ -88,3 +88,31 @@ def test_stage_keeps_columns_and_drops_lines(spark):
 @pytest.mark.parametrize("fn", [quality, quality_stage])
 def test_empty_table(spark, fn):
     assert fn(frame(spark, [])).count() == 0
+
+
+PROSE = "The design in this catalog in the library shows how a dialog in a novel is built, and readers who like cookies may read more about it here, as no one has to sign in for a chapter."
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_long_clean_line_with_phrases_stays(spark, times):
+    """A text of one long line is prose, whatever phrases it holds here and there."""
+    more = [" ".join(f"{w}{k}" for w in PROSE.rstrip(".").split()) + "." for k in range(1, times)]
+    text = " ".join([PROSE, *more])
+    row = quality(frame(spark, [(1, text)])).first()
+    assert (row.kept, row.lost_words, row.cleaned) == (True, 0, text)
+
+
+def test_phrases_match_whole_words_only(spark):
+    good = ["A design in blue.", "The catalog in print.", "One dialog in it.", "Bread more or less.", "Unsubscribed users are few.", "\u00fccookie is no word."]
+    bad = ["Please sign in.", "LOG IN!", "(Read more)", "We use cookies.", "Cookie-settings.", "Click here: now.", "Subscribe.", "\u201cSubscribe\u201d now.", "\u00abCookies\u00bb here.", "\u8bf7cookie\u8bbe\u7f6e\u3002"]
+    rows = [(k, f"{line}\nAnd here are some more words that make up a whole text for the test.") for k, line in enumerate(good + bad)]
+    rows += [(100, "Click here, read more, log in, sign in, subscribe, share this. " + "Some words that follow it are here to make this one line long enough for the share.")]
+    got = {r.doc_id: r.lost_words for r in quality(frame(spark, rows)).collect()}
+    assert got == {k: 0 if k < len(good) else len(words((good + bad)[k])) for k in range(len(good + bad))} | {100: len(words(rows[-1][1]))}
+
+
+def test_phrases_end_with_their_text(spark):
+    """Texts that follow each other in memory are told apart."""
+    rows = [(1, "log"), (2, " in here are ten good words of a text, and more."), (3, "The words of this text end with the words log in"), (4, "side of it are more words than ten, as it should be.")]
+    got = {r.doc_id: r.lost_words for r in quality(frame(spark, rows).coalesce(1).orderBy("doc_id")).collect()}
+    assert got == {1: 1, 2: 0, 3: 11, 4: 0}
