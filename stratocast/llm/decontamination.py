@@ -222,7 +222,8 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     schema = "gram long, id long, th long, size long"
     named = items.select(id_key("id").alias("item_id"), F.xxhash64("text").alias("item_th"), F.col("text").alias("item_text"))
-    seeds = map_arrow(named.select("item_id", "item_th", "item_text"), grams_of, schema).toDF("gram", "item_id", "item_th", "size")
+    # copies of an item count once, or its seeds would seem to repeat; `named` brings each copy back
+    seeds = map_arrow(named.select("item_id", "item_th", "item_text").distinct(), grams_of, schema).toDF("gram", "item_id", "item_th", "size")
     found = map_arrow(rows, grams_of, schema).select("gram", "id", "th").join(seeds.select("gram", "item_id", "item_th"), "gram")
     # a leak shares so many different seeds with the item, unless the item repeats itself
     own = seeds.groupBy("item_id", "item_th", "size").agg(F.count("*").alias("own"))

@@ -151,3 +151,18 @@ def test_words_without_punctuation():
         body = w.data.tobytes()
         got += [[body[p:q].decode() for p, q in zip(w.starts[m:n], w.ends[m:n])] for m, n in zip(w.first[:-1], w.first[1:])]
     assert got == [["ä", "b", "c", "d", "x", "y", "漢", "字"], [], ["1", "2"]]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_repeated_items_are_found_both_ways(spark, copies):
+    """Half of an item, its parts in another order and all of it, in documents that may be copies themselves."""
+    item = [f"word{k}" for k in range(40)]
+    parts = [item[k : k + 5] for k in range(0, 40, 5)]
+    shuffled = [w for k in (3, 0, 6, 2, 7, 4, 1, 5) for w in parts[k]]
+    rows = [(1, " ".join(["before", *item[:20], "after"])), (2, " ".join(shuffled)), (3, " ".join(item)), (3, " ".join(item)), (4, " ".join(item[:19])), (5, "other words only")]
+    items = [(9, " ".join(item))] * copies + [(10, "one two three four five")]
+    table = frame(spark, items, columns="item_id long, text string")
+    want = sorted([(1, 9, 40, 20), (2, 9, 40, 40), (3, 9, 40, 40), (3, 9, 40, 40)] * copies)
+    for send in (d.SEND_CHARS, -1):
+        found = d.leaks(frame(spark, rows), table, send_chars=send).collect()
+        assert sorted((r.id, r.item_id, r.item_words, r.covered_words) for r in found) == want
