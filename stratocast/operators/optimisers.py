@@ -6,6 +6,9 @@ import zlib
 
 import numpy as np
 
+#: Losses whose relative difference is below this are ties: far above the noise of sums and of exact decimals.
+TIE = 1e-9
+
 METHODS = ("ensemble_selection", "optimize_nnls", "differential_evolution")
 
 
@@ -17,12 +20,12 @@ def normalise(w: np.ndarray) -> np.ndarray:
 
 def ensemble_selection(y: np.ndarray, preds: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Greedy with replacement: each round adds the level that lowers the error of the running mean most.
-    The first level wins ties; differences below rounding noise count as ties."""
+    The first level wins ties (see TIE)."""
     total = np.zeros(len(y))
     picks = np.zeros(preds.shape[1])
     for i in range(1, rounds + 1):
         loss = np.abs(y[:, None] - (total[:, None] + preds) / i).mean(axis=0)
-        best = int(np.argmax(loss <= loss.min() * (1 + 1e-12)))
+        best = int(np.argmax(loss <= loss.min() * (1 + TIE)))
         total += preds[:, best]
         picks[best] += 1
     return normalise(picks)

@@ -17,9 +17,6 @@ from stratocast.operators import optimisers
 from stratocast.operators.hierarchy import cube_levels, depth, has_key
 from stratocast.operators.models import PRED_TYPE, null_safe_on
 
-# Losses that differ by less than this share are ties, whatever order a sum was taken in.
-TIE = 1e-9
-
 
 def candidates(totals: DataFrame, by: Sequence[str], n_keys: int) -> DataFrame:
     """Level totals with the top series' actual on every row: by, ds, level_id, y_top, y, pred."""
@@ -56,7 +53,7 @@ def prune_weak_levels(cands: DataFrame, by: Sequence[str], n_keys: int) -> DataF
     w = Window.partitionBy(*by)
     out = level_errors(cands, by).withColumn("depth", depth(F.col("level_id"), n_keys)).withColumn("ok", F.lit(True))
     ok, mae, dep = F.col("ok"), F.col("mae"), F.col("depth")
-    limit = F.col("_m") * (1 + TIE)
+    limit = F.col("_m") * (1 + optimisers.TIE)
     for d in range(1, n_keys + 1):
         out = out.withColumn("_m", F.avg(F.when(ok & (dep < d), mae)).over(w))
         out = out.withColumn("ok", ok & ~F.coalesce((dep == d) & (mae > limit), F.lit(False)))

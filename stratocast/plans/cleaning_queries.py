@@ -452,6 +452,7 @@ def _(spark, sf_dir):
     "stack_forecasts",
     f"""{PANEL}, {ref.folds(12, 12)}, {ref.horizon(KEYS, 12, 12, 12, ['Naive', 'Average'])}
     SELECT model AS experiment, level_id, concat_ws('/', {K}) AS unique_id, ds, CAST(pred AS DOUBLE) AS pred FROM fc""",
+    ordered=True,
 )
 def _(spark, sf_dir):
     arrays = crossed_arrays(spark, sf_dir)

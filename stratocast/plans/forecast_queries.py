@@ -34,7 +34,7 @@ def forecasts(spark, sf_dir, names=BASELINES):
 # ---- back-test and models ----
 
 
-@query("backtest_levels", f"{BT} SELECT model, fold, {S}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM bt")
+@query("backtest_levels", f"{BT} SELECT model, fold, {S}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM bt", ordered=True)
 def _(spark, sf_dir):
     return backtest(spark, sf_dir)
 
@@ -45,6 +45,7 @@ DBT = f"{DPANEL}, {ref.fold_forecasts(DKEYS, 7, 5, 5)}"
 @query(
     "backtest_daily",
     f"{DBT} SELECT model, fold, level_id, {DK}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM bt",
+    ordered=True,
 )
 def _(spark, sf_dir):
     panel = calendar.prepare_panel(inputs.daily_rows(spark, sf_dir), DKEYS, "D", with_id=False)
@@ -63,7 +64,7 @@ def _baseline_query(name: str, model: str):
     sql = f"""{PANEL}, {ref.folds(H, H)}, {ref.horizon(KEYS, 12, H, H, [model])}
     SELECT {S}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM fc"""
 
-    @query(name, sql)
+    @query(name, sql, ordered=True)
     def _(spark, sf_dir):
         return forecasts(spark, sf_dir, [model]).drop("model")
 
@@ -172,6 +173,7 @@ def _(spark, sf_dir):
 @query(
     "create_forecasts",
     f"{FC} SELECT model, {S}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM fc",
+    ordered=True,
 )
 def _(spark, sf_dir):
     return forecasts(spark, sf_dir)
@@ -225,7 +227,7 @@ def _(spark, sf_dir):
     return models.simple_ensemble(board, forecasts(spark, sf_dir), ["level_id"], 3)
 
 
-@query("median_interval", f"{FC} SELECT {S}, ds, CAST(pred AS DOUBLE) AS pred FROM fc WHERE model = 'Average'")
+@query("median_interval", f"{FC} SELECT {S}, ds, CAST(pred AS DOUBLE) AS pred FROM fc WHERE model = 'Average'", ordered=True)
 def _(spark, sf_dir):
     """Point forecasts after the end of training, from a table that also has fitted history."""
     arrays = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
@@ -342,15 +344,18 @@ def _(spark, sf_dir):
     return weights.best_single_level(c, ["model"], N)
 
 
-# greedy selection as a recursion: the state is the running sum per date, every round tries all levels
-GREEDY = """v AS (SELECT level_id, 3 - bit_count(level_id) AS d, list(CAST(pred AS DOUBLE) ORDER BY ds) AS p, list(CAST(y_top AS DOUBLE) ORDER BY ds) AS y FROM mc GROUP BY level_id),
+# greedy selection as a recursion: the state is the running sum per date, every round tries all levels; of the losses
+# within the tie limit of the lowest the coarsest level wins
+GREEDY = f"""v AS (SELECT level_id, 3 - bit_count(level_id) AS d, list(CAST(pred AS DOUBLE) ORDER BY ds) AS p, list(CAST(y_top AS DOUBLE) ORDER BY ds) AS y FROM mc GROUP BY level_id),
 g AS (
   SELECT 0 AS r, -1 AS pick, list_transform(any_value(y), lambda x: CAST(0 AS DOUBLE)) AS s FROM v
   UNION ALL
-  SELECT b.r, b.o.level_id, b.o.s FROM (
-    SELECT g.r + 1 AS r, arg_min({'level_id': v.level_id, 's': list_transform(range(1, len(v.p) + 1), lambda i: g.s[i] + v.p[i])},
-      {'l': round(list_avg(list_transform(range(1, len(v.p) + 1), lambda i: abs(v.y[i] - (g.s[i] + v.p[i]) / (g.r + 1)))), 4), 'd': v.d, 'id': v.level_id}) AS o
-    FROM g, v WHERE g.r < 200 GROUP BY g.r) b)"""
+  SELECT t.r, t.best.id, t.best.s FROM (
+    SELECT b.r, list_sort(list_filter(b.o, lambda x: x.l <= list_min(list_transform(b.o, lambda z: z.l)) * (1 + {optimisers.TIE!r}::DOUBLE)))[1] AS best FROM (
+      SELECT g.r + 1 AS r, list({{'d': v.d, 'id': v.level_id,
+        'l': list_avg(list_transform(range(1, len(v.p) + 1), lambda i: abs(v.y[i] - (g.s[i] + v.p[i]) / (g.r + 1)))),
+        's': list_transform(range(1, len(v.p) + 1), lambda i: g.s[i] + v.p[i])}}) AS o
+      FROM g, v WHERE g.r < 200 GROUP BY g.r) b) t)"""
 
 
 @query(

@@ -85,6 +85,7 @@ test AS (SELECT * FROM levels WHERE ds IN (SELECT ds FROM dates WHERE i > (SELEC
     f"""{FC15} SELECT coalesce(a.level_id, t.level_id) AS level_id, {", ".join(f"coalesce(a.{k}, t.{k}) AS {k}" for k in KEYS)},
       coalesce(a.ds, t.ds) AS ds, CAST(t.y AS DOUBLE) AS y, CAST(a.pred AS DOUBLE) AS pred
     FROM ahead a FULL OUTER JOIN test t ON a.ds = t.ds AND {ref.null_join('a', 't', SERIES)}""",
+    ordered=True,
 )
 def _(spark, sf_dir):
     arrays = crossed_arrays(spark, sf_dir)
@@ -113,6 +114,7 @@ def _(spark, sf_dir):
 @query(
     "keep_horizon_dates",
     f"{FC2} SELECT {', '.join(SERIES)}, ds, CAST(y AS DOUBLE) AS y FROM levels WHERE ds IN (SELECT ds FROM fc)",
+    ordered=True,
 )
 def _(spark, sf_dir):
     fc = forecasts_of(spark, sf_dir, ["SeasonalNaive"])

@@ -49,6 +49,7 @@ def _(spark, sf_dir):
     "wide_backtest",
     f"""{PANEL}, {ref.fold_forecasts(KEYS, 12, H, H, MODELS)}
     SELECT model, fold, {S}, ds, CAST(y AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS pred FROM bt""",
+    ordered=True,
 )
 def _(spark, sf_dir):
     series = arrays(spark, sf_dir)
