@@ -12,6 +12,7 @@ from stratocast.llm.decontamination import op10_decontamination
 from stratocast.llm.doubling import op6_substring_dedup
 from stratocast.llm.extraction import op9_extraction
 from stratocast.llm.quality import op7_quality
+from stratocast.llm.ranked import OP11_SQL, op11_ranked
 from stratocast.llm.rank_tree import op12_rank_tree
 from stratocast.llm.sharding import op8_sharding
 from stratocast.llm.simhash import op3_simhash
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_extraction": op9_extraction,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked": op11_ranked,
     "op12_rank_tree": op12_rank_tree,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op11_ranked": OP11_SQL}
