@@ -106,11 +106,12 @@ def components(links: DataFrame) -> DataFrame:
 def grouped(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, th, fp, component) of the rows (id, th, fp, ...): the smallest id that each row reaches over the links
     between the distinct `fp`, which `links_of` makes of a frame with one row for each."""
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low"), F.max("id").alias("high")))
     tops = components(links_of(nodes))
     known = tops.join(nodes, tops.node == nodes.fp).select("fp", "root", "low")
     lowest = known.groupBy("root").agg(F.min("low").alias("component"))
-    linked = known.join(lowest, "root").select("fp", "component")
+    # a component may hold a large part of all nodes
+    linked = salted_join(known, lowest, "root", "fp").select("fp", "component")
     named = nodes.join(linked, "fp", "left").where("component is not null or low < high").select("fp", F.coalesce("component", "low").alias("component"))
     # a fingerprint without a row here is one document's alone
     return salted_join(rows, named, "fp", "id", "left").select("id", "th", "fp", F.coalesce("component", "id").alias("component"))

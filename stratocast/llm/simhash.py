@@ -20,7 +20,6 @@ from stratocast.llm import words as W
 from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked, without_rows
 from stratocast.llm.components import HOLD, forest, grouped
 from stratocast.llm.shingles import shingles_of
-from stratocast.llm.similar import similar_groups
 from stratocast.session import cut_lineage
 
 DISTANCE = 4
@@ -200,11 +199,12 @@ def near_copies(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_
     return grouped(rows, links)
 
 
-def first_of_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id stays (of rows that repeat
-    that id the one with the smallest hash of the text, and of whole copies of that row one). All columns stay. Texts
-    without words are one group. The documents do not move if the list of those that go is short."""
-    found = cut_lineage(similar_groups(docs, shingle))
+def first_of_groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """The documents without near copies (fingerprints of `shingle` words within DISTANCE bits, linked over others): of
+    each component the one with the smallest id stays (of rows that repeat that id the one with the smallest hash of the
+    text, and of whole copies of that row one). All columns stay. Texts without words, null ones too, are one group. No
+    rows give no rows. The documents do not move if the list of those that go is short."""
+    found = cut_lineage(near_copies(docs, shingle))
     chosen = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
     rows = without_rows(keyed(docs, rest=True), found.join(chosen, ["id", "th"], "left_anti"))
     # whole copies of a row that stays

@@ -25,7 +25,7 @@ def test_against_plain_stages(spark):
     judged = [(i, plain_quality(t)) for i, t in rows]
     rows = sorted((i, q[3]) for i, q in judged if q[2])
     # near copies: the smallest id of each group
-    top = plain_components([i for i, _ in rows], [plain_fingerprint(t, 5) for _, t in rows])
+    top = plain_components([i for i, _ in rows], [plain_fingerprint(t, 4) for _, t in rows])
     rows = [r for r, c in zip(rows, top) if r[0] == c]
     # repeated passages
     kept = {i: k for i, n, gone, k in plain_passages(rows, 50) if n == 0 or gone < n}
