@@ -18,27 +18,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; lines that fail leave the others."""
+    """Documents that the line-first rules reject go; lines that fail leave the others. Null and empty texts fall short
+    of the ten words that a document needs; repeated rows are judged alike; no rows give no rows."""
     return quality_stage(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (similarity of five-word shingles 0.8 or more)."""
-    return first_of_groups(docs, shingle=5)
+    """One document of each group of near copies stays: fingerprints of four-word shingles within four bits, linked
+    over others. Null and empty texts are one group; of rows that repeat an id one stays; no rows give no rows."""
+    return first_of_groups(docs, shingle=4)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has go."""
+    """Passages of 50 words or more that an earlier document has go. Rows of one id are one document, null ids come
+    first; null and empty texts stay as they are; no rows give no rows."""
     return without_repeats(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none; repeated rows go or stay together; no
+    rows give no rows."""
     return decontaminated(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text."""
+    """The token ids of each text, none for null and empty ones; repeated rows stay; no rows give no rows."""
     return tokenised(docs)
 
 
@@ -55,6 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of `sf_dir`, each written as Parquet and read again for the next one. Columns that
+    the stages do not know stay; no documents give no rows."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
