@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratocast.llm.bpe import op4_bpe
 from stratocast.llm.chat import OP1_SQL, op1_chat
+from stratocast.llm.collocations import OP13_SQL, op13_collocations
 from stratocast.llm.decontamination import op10_decontamination
 from stratocast.llm.doubling import op6_substring_dedup
 from stratocast.llm.extraction import op9_extraction
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_ranked": op11_ranked,
     "op12_rank_tree": op12_rank_tree,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op11_ranked": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op11_ranked": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -14,7 +14,7 @@ def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "suffix_dedup", "decontaminate", "tokenise"]
     names = queries()
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == sorted([*range(1, 13)])
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "op1_chat" in oracle_sql()
 
 
