@@ -13,10 +13,12 @@ counts for nothing, but a phrase's first scan depends on its words alone, so eac
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,6 +76,15 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def sent_to_tasks(spark: SparkSession, tables: dict[int, np.ndarray]) -> Broadcast:
+    """Tables of one byte a bucket, mostly of one value: sent compressed. Each task opens them with `opened`."""
+    return spark.sparkContext.broadcast({k: zlib.compress(x.view(np.uint8).tobytes(), 1) for k, x in tables.items()})
+
+
+def opened(sent: Broadcast) -> dict[int, np.ndarray]:
+    return {k: np.frombuffer(zlib.decompress(x), dtype=np.uint8) for k, x in sent.value.items()}
+
+
 def under_way(h: np.ndarray, length: np.ndarray, known: dict[int, np.ndarray], step: int, shards: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, places, hashes, first scans) of the phrases of k words that scan `step` counts."""
     at = np.arange(len(h))
@@ -128,20 +139,19 @@ class Tally:
         self.parts, self.held = {}, 0
 
 
-def scan(shard: DataFrame, known: dict[int, np.ndarray], step: int, shards: int, longest: int) -> DataFrame:
+def scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
     """(k, first, h, c): what the tasks of one scan count. While words are counted, k = 0 has the words of a language,
     whose hash is h."""
-    sent = shard.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, sizes = Tally(), {}
+        known, tally, sizes = opened(sent), Tally(), {}
         for batch in batches:
             for low, high, words in W.chunks(batch.column(1), _between):
                 lang = batch.column(0).slice(low, high - low).to_numpy()
                 if step < shards:
                     for key, n in zip(lang.tolist(), words.counts.tolist()):
                         sizes[key] = sizes.get(key, 0) + n
-                for k, _, keys, first in under_way(word_hashes(words, lang), runs(words), sent.value, step, shards, longest):
+                for k, _, keys, first in under_way(word_hashes(words, lang), runs(words), known, step, shards, longest):
                     tally.add(k, keys, first)
                 if tally.held > HOLD:
                     tally.combine()
@@ -172,11 +182,13 @@ def counted(corpus: DataFrame, shards: int, least: int, longest: int) -> DataFra
     known = {k: np.full(1 << BITS, NEVER, dtype=np.uint8) for k in range(1, longest)}
     have, step, last = None, 0, 0
     while step < last + shards:
-        new = scan(corpus.where(F.col("shard") == step % shards), known, step, shards, longest)
+        sent = sent_to_tasks(corpus.sparkSession, known)
+        new = scan(corpus.where(F.col("shard") == step % shards), sent, step, shards, longest)
         both = new if have is None else have.unionByName(new)
         sums = both.groupBy("k", "first", "h").agg(F.sum("c").alias("c"))
         # a phrase whose cycle is over stays if it has been seen often enough
         have = cut_lineage(sums.where((F.col("k") == 0) | (F.col("c") >= least) | (F.col("first") + shards - 1 > step)))
+        sent.destroy()
         for k, taken in known.items():
             reached = _marked(have.where((F.col("k") == k) & (F.col("c") >= least)))
             fresh = reached & (taken == NEVER)
@@ -203,16 +215,17 @@ def named(corpus: DataFrame, phrases: DataFrame, shards: int, longest: int) -> D
     done = None
     for j in range(shards):
         open_ = phrases if done is None else phrases.join(done.select("k", "h"), ["k", "h"], "left_anti")
-        sent = spark.sparkContext.broadcast({k: _marked(open_.where(F.col("k") == k)) for k in range(2, longest + 1)})
+        sent = sent_to_tasks(spark, {k: _marked(open_.where(F.col("k") == k)) for k in range(2, longest + 1)})
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            seen = {k: np.zeros(0, dtype=np.uint64) for k in range(2, longest + 1)}
+            open_buckets = {k: x.view(bool) for k, x in opened(sent).items()}
+            seen = {k: np.zeros(0, dtype=np.uint64) for k in open_buckets}
             for batch in batches:
                 for low, high, words in W.chunks(batch.column(2), _between):
                     codes = batch.column(0).slice(low, high - low).to_numpy()
                     h, length = word_hashes(words, codes), runs(words)
                     doc = words.doc_of()
-                    for k, wanted in sent.value.items():
+                    for k, wanted in open_buckets.items():
                         at = np.flatnonzero(length >= k)
                         keys = phrase_hashes(h, at, k)
                         hit = wanted[bucket(keys)]
@@ -234,6 +247,7 @@ def named(corpus: DataFrame, phrases: DataFrame, shards: int, longest: int) -> D
         found = texts.mapInArrow(run, "k byte, h long, lang string, lang_hash long, phrase string")
         one = found.groupBy("k", "h").agg(F.min(F.struct("lang", "lang_hash", "phrase")).alias("p"))
         part = cut_lineage(open_.join(one, ["k", "h"]).select("k", "h", "c", "p.*"))
+        sent.destroy()
         done = part if done is None else done.unionByName(part)
     return done
 
