@@ -105,6 +105,14 @@ def under_way(h: np.ndarray, length: np.ndarray, known: dict[int, np.ndarray], s
         keys = phrase_hashes(h, at, k + 1)
 
 
+#: Length and first scan of a phrase as one number: fewer columns to shuffle.
+LENGTH, FIRST = "shiftright(kf, 8)", "(kf & 255)"
+
+
+def pack(k: int, first: np.ndarray) -> np.ndarray:
+    return (k * 256 + first).astype(np.int32)
+
+
 class Tally:
     """Counts of phrases (length, hash, first scan), combined as they come."""
 
@@ -133,15 +141,15 @@ class Tally:
                 cut = slice(low, low + (1 << 16))
                 n = len(keys[cut])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, k, dtype=np.int8)), pa.array(first[cut].astype(np.int16)), pa.array(keys[cut].view(np.int64)), pa.array(c[cut])],
-                    names=["k", "first", "h", "c"],
+                    [pa.array(pack(k, first[cut])), pa.array(keys[cut].view(np.int64)), pa.array(c[cut])],
+                    names=["kf", "h", "c"],
                 )
         self.parts, self.held = {}, 0
 
 
 def scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    """(k, first, h, c): what the tasks of one scan count. While words are counted, k = 0 has the words of a language,
-    whose hash is h."""
+    """(kf, h, c): what the tasks of one scan count, by length and first scan and hash. While words are counted, length 0
+    has the words of a language, whose hash is h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tally, sizes = opened(sent), Tally(), {}
@@ -159,11 +167,11 @@ def scan(shard: DataFrame, sent: Broadcast, step: int, shards: int, longest: int
                         yield from tally.rows()
         yield from tally.rows()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(sizes), dtype=np.int8)), pa.array(np.zeros(len(sizes), dtype=np.int16)), pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())],
-            names=["k", "first", "h", "c"],
+            [pa.array(np.zeros(len(sizes), dtype=np.int32)), pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())],
+            names=["kf", "h", "c"],
         )
 
-    return shard.select("lang_hash", "text").mapInArrow(run, "k byte, first short, h long, c long")
+    return shard.select("lang_hash", "text").mapInArrow(run, "kf int, h long, c long")
 
 
 def _marked(phrases: DataFrame) -> np.ndarray:
@@ -185,18 +193,18 @@ def counted(corpus: DataFrame, shards: int, least: int, longest: int) -> DataFra
         sent = sent_to_tasks(corpus.sparkSession, known)
         new = scan(corpus.where(F.col("shard") == step % shards), sent, step, shards, longest)
         both = new if have is None else have.unionByName(new)
-        sums = both.groupBy("k", "first", "h").agg(F.sum("c").alias("c"))
+        sums = both.groupBy("h", "kf").agg(F.sum("c").alias("c"))
         # a phrase whose cycle is over stays if it has been seen often enough
-        have = cut_lineage(sums.where((F.col("k") == 0) | (F.col("c") >= least) | (F.col("first") + shards - 1 > step)))
+        have = cut_lineage(sums.where(f"{LENGTH} = 0 or c >= {least} or {FIRST} + {shards} - 1 > {step}"))
         sent.destroy()
         for k, taken in known.items():
-            reached = _marked(have.where((F.col("k") == k) & (F.col("c") >= least)))
+            reached = _marked(have.where(f"{LENGTH} = {k} and c >= {least}"))
             fresh = reached & (taken == NEVER)
             if fresh.any():
                 taken[fresh] = step + 1
                 last = step + 1
         step += 1
-    return have.select("k", "h", "c")
+    return have.selectExpr(f"cast({LENGTH} as byte) as k", "h", "c")
 
 
 def _texts_of(words: W.Words, at: np.ndarray, k: int) -> pa.Array:
