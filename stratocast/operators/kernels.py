@@ -113,159 +113,3 @@ def imapa(y: np.ndarray, h: int, m: int) -> np.ndarray:
         rows = gaps == k
         out[rows] = np.mean([_ses(_buckets(y[rows], j))[0] / j for j in range(1, k + 1)], axis=0)
     return np.repeat(out[:, None], h, axis=1)
-
-
-def _aicc(sse: np.ndarray, n: int, k: int) -> np.ndarray:
-    base = n * np.log(np.maximum(sse, 1e-12) / n) + 2 * k
-    return base + 2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else np.full_like(base, np.inf)
-
-
-def _ets_form(y, h, m, trend, damped, season):
-    """Additive-error smoothing over a grid of parameters: (score, forecast) of the best grid point."""
-    s, n = y.shape
-    a = np.array([0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
-    b = np.array([0.02, 0.1, 0.3]) if trend else np.zeros(1)
-    g = np.array([0.02, 0.1, 0.3]) if season else np.zeros(1)
-    grid = np.stack([v.ravel() for v in np.meshgrid(a, b, g, indexing="ij")])
-    alpha, beta, gamma = grid
-    phi = 0.9 if damped else 1.0
-    p = len(alpha)
-    first = min(m, n) if season else min(n, 2)
-    level = np.repeat(y[:, :first].mean(axis=1, keepdims=True), p, axis=1)
-    slope = np.zeros((s, p))
-    if trend:
-        span = min(2 * m, n) // 2 if season else n // 2
-        gap = (y[:, span : 2 * span].mean(axis=1) - y[:, :span].mean(axis=1)) / max(span, 1)
-        slope = np.repeat(gap[:, None], p, axis=1)
-        if season:
-            level = level - slope * (m - 1) / 2
-        level = level - slope
-    seas = np.zeros((m, s, p))
-    if season:
-        t = np.arange(m)
-        line = level[:, :1] + slope[:, :1] * (t + 1)
-        seas = np.repeat((y[:, :m] - line).T[:, :, None], p, axis=2)
-        seas = seas - seas.mean(axis=0)
-    sse = np.zeros((s, p))
-    for t in range(n):
-        base = level + phi * slope
-        cell = seas[t % m] if season else 0.0
-        err = y[:, t : t + 1] - base - cell
-        sse += err * err
-        level = base + alpha * err
-        slope = phi * slope + alpha * beta * err
-        if season:
-            seas[t % m] = cell + gamma * (1 - alpha) * err
-    k = 2 + 2 * trend + damped + (m if season else 0) + season
-    best = sse.argmin(axis=1)
-    rows = np.arange(s)
-    steps = np.arange(1, h + 1)
-    grow = np.cumsum(phi**steps) if trend else np.zeros(h)
-    out = level[rows, best][:, None] + slope[rows, best][:, None] * grow
-    if season:
-        out = out + seas[(n + steps - 1) % m][:, rows, best].T
-    return _aicc(sse[rows, best], n, k), out
-
-
-def auto_ets(y: np.ndarray, h: int, m: int) -> np.ndarray:
-    """Level, trend, damped trend, each with and without season; lowest AICc wins."""
-    n = y.shape[1]
-    forms = [(False, False, False)]
-    if n >= 4:
-        forms += [(True, False, False), (True, True, False)]
-    if m > 1 and n >= 2 * m:
-        forms += [(False, False, True), (True, False, True), (True, True, True)]
-    return _best([_ets_form(y, h, m, *f) for f in forms])
-
-
-def _best(fits) -> np.ndarray:
-    scores = np.stack([np.where(np.isfinite(s), s, np.inf) for s, _ in fits])
-    pick = scores.argmin(axis=0)
-    return np.stack([f for _, f in fits])[pick, np.arange(len(pick))]
-
-
-def _solve(x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Batched least squares with a trace of ridge: (s, n, k), (s, n) -> (s, k)."""
-    gram = np.einsum("snk,snl->skl", x, x)
-    scale = np.trace(gram, axis1=1, axis2=2)[:, None, None] + 1e-12
-    gram = gram + 1e-9 * scale * np.eye(x.shape[2])
-    return np.linalg.solve(gram, np.einsum("snk,sn->sk", x, z)[:, :, None])[:, :, 0]
-
-
-def _lags(v: np.ndarray, p: int, start: int) -> list[np.ndarray]:
-    return [v[:, start - i : v.shape[1] - i] for i in range(1, p + 1)]
-
-
-def _arma(w: np.ndarray, h: int, p: int, q: int, constant: bool, skip: int, long_ar: int):
-    """Two-step regression: residuals of a long autoregression, then values on lags of values and residuals."""
-    s, n = w.shape
-    x = np.stack([*_lags(w, long_ar, long_ar), np.ones((s, n - long_ar))], axis=2)
-    e = np.zeros((s, n))
-    e[:, long_ar:] = w[:, long_ar:] - np.einsum("snk,sk->sn", x, _solve(x, w[:, long_ar:]))
-    cols = [*_lags(w, p, skip), *_lags(e, q, skip)] + ([np.ones((s, n - skip))] if constant else [])
-    if not cols:
-        resid, coef = w[:, skip:], np.zeros((s, 0))
-    else:
-        x = np.stack(cols, axis=2)
-        coef = _solve(x, w[:, skip:])
-        resid = w[:, skip:] - np.einsum("snk,sk->sn", x, coef)
-    e[:, skip:] = resid
-    path = np.concatenate([w, np.zeros((s, h))], axis=1)
-    shock = np.concatenate([e, np.zeros((s, h))], axis=1)
-    for t in range(n, n + h):
-        terms = [path[:, t - i] for i in range(1, p + 1)] + [shock[:, t - i] for i in range(1, q + 1)]
-        terms += [np.ones(s)] if constant else []
-        path[:, t] = sum((coef[:, i] * v for i, v in enumerate(terms)), np.zeros(s))
-    score = _aicc((resid * resid).sum(axis=1), n - skip, p + q + constant + 1)
-    return np.where(_stationary(coef[:, :p]), score, np.inf), path[:, n:]
-
-
-def _stationary(ar: np.ndarray) -> np.ndarray:
-    """Whether autoregressions of order 0 to 2 stay bounded. Orders whose fit does not are not chosen."""
-    if ar.shape[1] == 0:
-        return np.ones(len(ar), bool)
-    if ar.shape[1] == 1:
-        return np.abs(ar[:, 0]) < 1
-    return (np.abs(ar[:, 1]) < 1) & (ar[:, 0] + ar[:, 1] < 1) & (ar[:, 1] - ar[:, 0] < 1)
-
-
-def auto_arima(y: np.ndarray, h: int, m: int, max_p: int = 2, max_q: int = 2) -> np.ndarray:
-    """Order grid. Differencing is chosen first (smallest spread), then of the stationary ARMA fits the one with the
-    lowest AICc; its forecasts are what the fit says. With fewer than 12 usable values there is no fit, and the last
-    value is the forecast."""
-    s, n = y.shape
-    options = [(0, 0), (1, 0)] + ([(0, 1), (1, 1)] if m > 1 and n >= 3 * m else [])
-    shortest = n - max(d + sd * m for d, sd in options)
-    if shortest < 12:
-        return np.repeat(y[:, -1:], h, axis=1)
-    spread, diffs = [], []
-    for d, sd in options:
-        w = y[:, m:] - y[:, :-m] if sd else y
-        w = np.diff(w, axis=1) if d else w
-        diffs.append(w)
-        spread.append(w.std(axis=1) * (1.05 ** (d + sd)))
-    choice = np.stack(spread).argmin(axis=0)
-    out = np.zeros((s, h))
-    for c in np.unique(choice):
-        rows = choice == c
-        d, sd = options[c]
-        w = diffs[c][rows]
-        long_ar = min(6, w.shape[1] // 4)
-        skip = long_ar + max(max_p, max_q)
-        fits = [
-            _arma(w, h, p, q, not (d or sd) or (d + sd == 1), skip, long_ar)
-            for p in range(max_p + 1)
-            for q in range(max_q + 1)
-        ]
-        f = _best(fits)
-        yy = y[rows]
-        if d:
-            base = yy[:, m:] - yy[:, :-m] if sd else yy
-            f = base[:, -1:] + np.cumsum(f, axis=1)
-        if sd:
-            path = np.concatenate([yy, np.zeros((len(yy), h))], axis=1)
-            for t in range(h):
-                path[:, n + t] = f[:, t] + path[:, n + t - m]
-            f = path[:, n:]
-        out[rows] = f
-    return out

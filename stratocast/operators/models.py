@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratocast.functions.dates import period_end, period_index
-from stratocast.operators import kernels
+from stratocast.operators import kernels, searched
 from stratocast.operators.hierarchy import collapse_forecast
 
 # Predictions are kept as exact decimals: sums over nodes do not depend on the order of tasks.
@@ -124,8 +124,9 @@ for _name, _kernel, _tier in (
     ("CrostonSBA", kernels.croston_sba, 2),
     ("ADIDA", kernels.adida, 2),
     ("IMAPA", kernels.imapa, 2),
-    ("AutoETS", kernels.auto_ets, 3),
-    ("AutoARIMA", kernels.auto_arima, 3),
+    ("HoltWinters", searched.holt_winters, 2),
+    ("AutoETS", searched.auto_ets, 3),
+    ("AutoARIMA", searched.auto_arima, 3),
 ):
     register_model(_name, _kernel, _tier)
 
@@ -219,11 +220,41 @@ def backtest_levels(
 ) -> DataFrame:
     """Out-of-fold predictions of every model for every series: model, fold, series, ds, y, pred."""
     el = _element(arrays)
-    f = fold_histories(arrays, series, folds)
+    f = dealt(fold_histories(arrays, series, folds), models, [*series, "fold"])
     f = f.select(*series, "fold", "ds", "y", *_preds(models, F.col("hist"), fold_length, season, el))
     return _explode_models(f, [*series, "fold"], models, ["ds", "y"])
 
 
+def dealt(histories: DataFrame, models: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Histories spread evenly over tasks if a model searches: that costs far more than one more shuffle of them, and
+    small tables would else be searched by one task."""
+    if all(m not in MODELS or MODELS[m].tier < 3 for m in models):
+        return histories
+    return histories.repartition(int(histories.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def searched_rows(histories: DataFrame, series: Sequence[str], hist: str, model: str, h: int, season: int) -> DataFrame:
+    """(series, pred): a search as rows of (series, candidate), dealt over tasks, the best candidate by `min_by`. The same
+    forecasts as the model's own, for few long series, of which a batch would hold a task for long."""
+    @F.pandas_udf("struct<score double, pred array<double>>")
+    def fit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for y, number in batches:
+            score, pred = pd.Series(np.inf, index=y.index), pd.Series([None] * len(y), index=y.index, dtype=object)
+            for (c, n), part in y.groupby([number, y.map(len)]):
+                if n:
+                    values, paths = searched.one_candidate(model, int(c), np.stack(part.to_list()).astype(float), h, season)
+                    score[part.index] = values
+                    for i, row in zip(part.index, paths):
+                        pred[i] = row
+            yield pd.DataFrame({"score": score, "pred": pred})
+
+    last = len(searched.candidates(model, season)) - 1
+    rows = histories.select(*series, F.col(hist).cast("array<double>").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_c"))
+    fitted = dealt(rows, [model], [*series, "_c"]).select(*series, "_c", fit("_y", "_c").alias("_f"))
+    best = fitted.groupBy(*series).agg(F.min_by("_f.pred", F.struct("_f.score", "_c")).alias("pred"))
+    return best.select(*series, F.col("pred").cast(f"array<{PRED_TYPE}>").alias("pred"))
+
+
 def _preds(models, hist, h, season, el):
     return [predict(m, hist, h, season, el).alias(f"_m{i}") for i, m in enumerate(models)]
 
@@ -245,7 +276,7 @@ def forecast_horizon(
         end = F.lit(train_end).cast("date")
         n = F.size(F.filter("ds", lambda d: d <= end))
         arrays = arrays.select(*series, F.slice("ds", 1, n).alias("ds"), F.slice("y", 1, n).alias("y"))
-    arrays = arrays.filter(F.size("ds") > 0)
+    arrays = dealt(arrays.filter(F.size("ds") > 0), models, series)
     last = period_index(F.try_element_at("ds", F.lit(-1)), freq)
     f = arrays.select(
         *series, F.col("y").alias("hist"), F.transform(_steps(h), lambda s: period_end(last + s, freq)).alias("ds")
@@ -279,7 +310,7 @@ def create_forecasts(
     if train_end is not None:
         n = F.size(F.filter("ds", lambda d: d <= F.lit(train_end).cast("date")))
         held = held.withColumns({"y": F.slice("y", 1, n), "ds": F.slice("ds", 1, n)})
-    held = held.filter(F.size("ds") > 0)
+    held = dealt(held.filter(F.size("ds") > 0), models, series)
     last = period_index(F.try_element_at("ds", F.lit(-1)), freq)
     ahead = F.transform(_steps(h), lambda s: period_end(last + s, freq))
     f = held.select(*series, F.col("y").alias("hist"), ahead.alias("ds_h"), "ds_test", "y_test")

@@ -146,6 +146,37 @@ _bucket_query("f_adida", "ADIDA", f"SELECT {S}, level AS pred FROM fin WHERE j =
 _bucket_query("f_imapa", "IMAPA", f"SELECT {S}, sum(level ORDER BY j) / any_value(k) AS pred FROM fin GROUP BY {S}")
 
 
+# level, slope and factors per series, one recursion step per period; the factor of a period is appended to the list
+HOLT_WINTERS = f"""{(PANEL + ", " + ref.folds(H, H)).replace('WITH', 'WITH RECURSIVE', 1)},
+ob AS (SELECT {S}, list(CAST(y AS DOUBLE) ORDER BY i) AS y FROM levels JOIN dates USING (ds) WHERE i <= (SELECT n FROM train_n) GROUP BY {S}),
+ini AS (SELECT *, list_sum(y[1:12]) / 12 AS level0 FROM ob),
+hw AS (
+  SELECT {S}, y, 12 AS t, level0 AS level, (list_sum(y[13:24]) / 12 - level0) / 12 AS slope,
+    list_transform(y[1:12], lambda v: CASE WHEN level0 > 0 THEN v / level0 ELSE 1::DOUBLE END) AS f FROM ini
+  UNION ALL
+  SELECT {S}, y, t + 1, base + 0.3::DOUBLE * part, slope + 0.3::DOUBLE * 0.1::DOUBLE * part,
+    list_append(f, CASE WHEN base > 0 THEN cell + 0.2::DOUBLE * (e / base) ELSE cell END)
+  FROM (SELECT *, CASE WHEN cell > 0 THEN e / cell ELSE e END AS part FROM (
+    SELECT *, y[t + 1] - base * cell AS e FROM (
+      SELECT *, level + slope AS base, f[t - 11] AS cell FROM hw WHERE t < len(y))))),
+fin AS (SELECT * FROM hw WHERE t = len(y)),
+fc AS (
+  SELECT {S}, d.i - t AS step, d.ds, CAST(CAST((level + (d.i - t) * slope) * f[t - 12 + (d.i - t - 1) % 12 + 1] AS DECIMAL(28,6)) AS DOUBLE) AS pred
+  FROM fin, dates d WHERE d.i > t)"""
+
+
+@query(
+    "f_holt_winters",
+    f"""{HOLT_WINTERS} SELECT {", ".join("l." + c for c in SERIES)}, l.ds, CAST(l.y AS DOUBLE) AS y, round(fc.pred, 3) AS pred
+    FROM fc JOIN levels l ON l.ds = fc.ds AND {ref.same_series('fc', 'l', SERIES)}""",
+    ordered=True,
+)
+def _(spark, sf_dir):
+    """One fixed form of exponential smoothing: additive trend, multiplicative season."""
+    out = forecasts(spark, sf_dir, ["HoltWinters"]).drop("model")
+    return out.withColumn("pred", F.round(F.col("pred").cast("double"), 3))
+
+
 def pooled_forecasts(spark, sf_dir, mode):
     train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
     out = pooled.pooled_forecast(train, SERIES, "y", H, 12, mode)
@@ -741,7 +772,7 @@ def _(spark, sf_dir):
 
 # ---- what holds for models and searches that have no SQL twin ----
 
-SEARCHED = ("Theta", "AutoETS", "AutoARIMA")
+SEARCHED = ("Theta", "HoltWinters", "AutoETS", "AutoARIMA")
 
 
 @query(
@@ -759,6 +790,53 @@ def _(spark, sf_dir):
     return some.unionByName(lags).groupBy("model", "level_id").agg(F.count("*").alias("n_rows"), finite.alias("n_finite"))
 
 
+def seasonal_histories(spark, sf_dir):
+    """A multiplicative year and a trend on the mean of each series, with a fifth of its own ups and downs; last year
+    held out."""
+    total = F.aggregate("y", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    arrays = crossed_arrays(spark, sf_dir).withColumn("_mean", total / F.size("y"))
+    calm = lambda v: 0.8 * F.col("_mean") + 0.2 * v.cast("double")
+    wave = F.transform("y", lambda v, i: calm(v) * (1 + 0.02 * i) * (1 + 0.5 * F.sin(i * F.lit(3.141592653589793 / 6))))
+    return models.hold_out(arrays.withColumn("y", wave), SERIES, H)
+
+
+@query(
+    "searched_models_follow",
+    f"""{PANEL} SELECT model, level_id, true AS follows FROM (SELECT unnest(['AutoETS', 'AutoARIMA', 'HoltWinters']) AS model),
+      (SELECT DISTINCT level_id FROM levels WHERE level_id > 0)""",
+)
+def _(spark, sf_dir):
+    """On sums with a clear season and trend, the held-out error of each searched model is below 0.7 of that of the mean
+    of the history, at every level above the leaves."""
+    names = ["AutoETS", "AutoARIMA", "HoltWinters", "Average"]
+    held = models.dealt(seasonal_histories(spark, sf_dir).filter("level_id > 0"), names, SERIES)
+    kind = held.schema["y"].dataType.elementType
+    preds = [models.predict(m, F.col("y"), H, 12, kind).alias(m) for m in names]
+    off = lambda m: F.aggregate(F.zip_with("y_test", m, lambda y, p: F.abs(y - p.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    errors = held.select("level_id", "y_test", *preds).groupBy("level_id").agg(*[F.sum(off(m)).alias(m) for m in names])
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), (F.col(m) < 0.7 * F.col("Average")).alias("follows")) for m in names[:-1]])
+    return errors.select("level_id", F.inline(rows)).select("model", "level_id", "follows")
+
+
+@query(
+    "searched_rows_agree",
+    f"""{PANEL} SELECT model, level_id, count(DISTINCT concat_ws('|', {S})) AS n_series, count(DISTINCT concat_ws('|', {S})) AS n_equal
+    FROM levels, (SELECT unnest(['AutoETS', 'AutoARIMA']) AS model) WHERE level_id > 0 GROUP BY model, level_id""",
+)
+def _(spark, sf_dir):
+    """A search as rows of (series, candidate) forecasts what the search of whole batches does."""
+    held = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H).filter("level_id > 0").select(*SERIES, "y")
+    kind = held.schema["y"].dataType.elementType
+    out = []
+    for name in ("AutoETS", "AutoARIMA"):
+        whole = models.dealt(held, [name], SERIES).select(*SERIES, models.predict(name, F.col("y"), H, 12, kind).alias("pred"), F.lit(0).alias("way"))
+        rows = models.searched_rows(held, SERIES, "y", name, H, 12).withColumn("way", F.lit(1))
+        both = whole.unionByName(rows).groupBy(*SERIES).agg(F.max_by("pred", "way").alias("a"), F.min_by("pred", "way").alias("b"))
+        near = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y) <= 0.001 + 1e-6 * F.abs(y)), lambda ok: ok)
+        out.append(both.groupBy("level_id").agg(F.count("*").alias("n_series"), F.count(F.when(near, 1)).alias("n_equal")).withColumn("model", F.lit(name)))
+    return out[0].unionByName(out[1]).select("model", "level_id", "n_series", "n_equal")
+
+
 @query(
     "weights_sound",
     f"""SELECT model, optim_method, CAST(1 AS DOUBLE) AS total, true AS in_range, true AS known_levels
