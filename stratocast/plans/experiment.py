@@ -9,12 +9,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.operators import boosted, direct, joins, metrics, models, pooled, reconcile, weights
 from stratocast.operators import folds as fo
-from stratocast.operators import joins, metrics, models, pooled, reconcile, weights
 from stratocast.operators.calendar import prepare_panel
 from stratocast.operators.hierarchy import cube_levels
 from stratocast.operators.optimisers import METHODS
@@ -22,7 +23,8 @@ from stratocast.session import cut_lineage
 from stratocast.sources.store import ArtifactStore
 from stratocast.spec import PanelSpec
 
-POOLED = "PooledLags"
+#: Models that many series share: one recursion, one regression per step ahead, boosted trees.
+POOLED, DIRECT, BOOSTED = SHARED = ("PooledLags", "DirectLags", "BoostedLags")
 LEADERBOARD = "Leaderboard"
 
 
@@ -73,22 +75,39 @@ def _leaders(pool: DataFrame, forecasts: DataFrame, way: str) -> DataFrame:
     return models.choose_forecasts(forecasts, best, by, LEADERBOARD).withColumn("forecast_method", F.lit(way))
 
 
+def shared_forecast(name: str, histories: DataFrame, series: Sequence[str], hist: str, h: int, season: int, way: str, folds: Sequence[int] | None = None) -> DataFrame:
+    """The histories with the `pred` of a model that series share. With `folds` the rows have a column fold, and every
+    fold has a model of its own."""
+    by = ["fold"] if folds is not None else []
+    if name == POOLED:
+        return pooled.pooled_forecast(histories, [*series, *by], hist, h, season, way, by)
+    if name == DIRECT:
+        out = direct.direct_forecast(histories, [*series, *by], hist, h, season, series, way, by)
+        return histories.alias("h").join(out.alias("o"), models.null_safe_on([*series, *by], "h", "o")).select("h.*", "o.pred")
+    if name != BOOSTED:
+        raise ValueError(f"unknown shared model {name!r}; use one of {SHARED}")
+    parts = [histories] if folds is None else [histories.filter(F.col("fold") == k) for k in folds]
+    return _union([boosted.boosted_forecast(part, series, hist, h, season, series, way)[0] for part in parts])
+
+
 def backtest(arrays: DataFrame, spec: PanelSpec, cfg: Settings, pool: DataFrame | None = None) -> DataFrame:
     """Fold predictions of all requested models: model, forecast_method, fold, series, ds, y, pred.
     `pool` is the stored pool_backtest, where there is one."""
     series = series_cols(spec)
     folds = _folds(arrays, spec, cfg)
     out = []
-    plain = [m for m in cfg.models if m not in (POOLED, LEADERBOARD)]
+    plain = [m for m in cfg.models if m not in (*SHARED, LEADERBOARD)]
     if plain:
         bt = models.backtest_levels(arrays, series, folds, plain, cfg.fold_length, spec.season)
         out += [bt.withColumn("forecast_method", F.lit(w)) for w in _ways(cfg, plain)]
-    if POOLED in cfg.models:
+    shared = [m for m in cfg.models if m in SHARED]
+    if shared:
         hist = models.fold_histories(arrays, series, folds)
-        for way in cfg.forecast_methods:
-            p = pooled.pooled_forecast(hist, [*series, "fold"], "hist", cfg.fold_length, spec.season, way, ["fold"])
+        numbers = [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]
+        for name, way in product(shared, cfg.forecast_methods):
+            p = shared_forecast(name, hist, series, "hist", cfg.fold_length, spec.season, way, numbers)
             zipped = F.arrays_zip("ds", "y", F.slice("pred", 1, F.size("ds")).alias("pred"))
-            p = p.select(F.lit(POOLED).alias("model"), *series, "fold", F.inline(zipped))
+            p = p.select(F.lit(name).alias("model"), *series, "fold", F.inline(zipped))
             out.append(p.withColumn("forecast_method", F.lit(way)))
     if LEADERBOARD in cfg.models:
         pool = pool_backtest(arrays, spec, cfg) if pool is None else pool
@@ -110,17 +129,18 @@ def forecast(arrays: DataFrame, spec: PanelSpec, cfg: Settings, pool: DataFrame
         held, series, names, cfg.future_periods, spec.freq, spec.season
     )
     out = []
-    plain = [m for m in cfg.models if m not in (POOLED, LEADERBOARD)]
+    plain = [m for m in cfg.models if m not in (*SHARED, LEADERBOARD)]
     if plain:
         f = run(plain)
         out += [f.withColumn("forecast_method", F.lit(w)) for w in _ways(cfg, plain)]
-    if POOLED in cfg.models:
+    shared = [m for m in cfg.models if m in SHARED]
+    if shared:
         dates_only = run(["Zero"]).drop("pred", "model")
         horizon = dates_only.groupBy(*series).agg(F.sort_array(F.collect_list("ds")).alias("fds"))
-        for way in cfg.forecast_methods:
-            p = pooled.pooled_forecast(held, series, "y", cfg.future_periods, spec.season, way)
+        for name, way in product(shared, cfg.forecast_methods):
+            p = shared_forecast(name, held, series, "y", cfg.future_periods, spec.season, way)
             p = p.alias("p").join(horizon.alias("h"), models.null_safe_on(series, "p", "h")).select(
-                F.lit(POOLED).alias("model"), *[F.col(f"p.{c}").alias(c) for c in series],
+                F.lit(name).alias("model"), *[F.col(f"p.{c}").alias(c) for c in series],
                 F.inline(F.arrays_zip(F.col("fds").alias("ds"), F.col("p.pred").alias("pred"))),
             )
             out.append(p.withColumn("forecast_method", F.lit(way)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratocast.operators import calendar, folds, hierarchy, joins, kernels, metrics, models, optimisers, pooled, reconcile, weights
+from stratocast.operators import boosted, calendar, direct, folds, hierarchy, joins, kernels, metrics, models, optimisers, pooled, reconcile, weights
 from stratocast.operators.models import BASELINES, PRED_TYPE
 from stratocast.plans import experiment, inputs
 from stratocast.plans import reference_sql as ref
@@ -189,6 +189,25 @@ def _(spark, sf_dir):
     return pooled_forecasts(spark, sf_dir, "global")
 
 
+@query("f_direct_lags")
+def _(spark, sf_dir):
+    """One regression per month ahead on lags and key features, for all levels together."""
+    train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
+    out = direct.direct_forecast(train, SERIES, "y", H, 12, SERIES)
+    rows = F.arrays_zip(F.col("ds_test").alias("ds"), F.col("y_test").alias("y"), F.col("pred"))
+    on = models.null_safe_on(SERIES, "t", "o")
+    return train.alias("t").join(out.alias("o"), on).select("t.*", "o.pred").select(*SERIES, F.inline(rows))
+
+
+@query("f_boosted_lags")
+def _(spark, sf_dir):
+    """Boosted trees on lags and key features, for all levels together."""
+    train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
+    out, _ = boosted.boosted_forecast(train, SERIES, "y", H, 12, SERIES, rounds=4)
+    rows = F.arrays_zip(F.col("ds_test").alias("ds"), F.col("y_test").alias("y"), F.col("pred"))
+    return out.select(*SERIES, F.inline(rows))
+
+
 @query("forecast_level_vs_global")
 def _(spark, sf_dir):
     """Error per level of one model for everything and of one model per level."""
@@ -869,6 +888,50 @@ def _(spark, sf_dir):
     return resid.groupBy("level_id").agg((F.greatest(*sums) < 1e-4).alias("solved"))
 
 
+@query(
+    "direct_equations_hold",
+    f"""{PANEL}, {ref.folds(H, H)} SELECT level_id, CAST(unnest(generate_series(1, {H})) AS INTEGER) AS step, true AS solved FROM (SELECT DISTINCT level_id FROM levels)""",
+)
+def _(spark, sf_dir):
+    """Each level's and step's residuals, on rows written out one by one, are explained by no lag: the normal equations
+    that were put together from sums hold."""
+    train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
+    k = 5
+    coded = direct.with_codes(direct.step_sums(train, SERIES, "y", H, 12, 3), ["level_id"], KEYS)
+    coefs = pooled.solve(direct.normal_equations(coded, ["level_id"], k, len(KEYS)), ["level_id", "step"], k + len(KEYS))
+    size = F.greatest(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)) / F.size("v"), F.lit(1e-9))
+    v = train.withColumn("v", F.col("y").cast("array<double>")).withColumn("v", F.transform("v", lambda x: x / size)).select(*SERIES, "v")
+    v = v.join(coded.select(*SERIES, "step", "codes").withColumnsRenamed({c: f"c_{c}" for c in SERIES}), models_on("", "c_", SERIES))
+    rows = v.withColumn("t", F.explode(F.sequence(F.lit(12), F.size("v") - F.col("step"))))
+    at = lambda back: F.element_at("v", F.col("t") - back)
+    x = F.concat(F.array(at(0), at(1), at(2), at(F.lit(12) - F.col("step")), F.lit(1.0)), F.col("codes"))
+    rows = rows.select("level_id", "step", x.alias("x"), F.element_at("v", F.col("t") + F.col("step")).alias("z"))
+    fit = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    resid = rows.join(coefs, ["level_id", "step"]).withColumn("e", F.col("z") - fit)
+    sums = [F.abs(F.sum(F.col("e") * F.col("x")[i])) / F.sum(F.abs(F.col("z") * F.col("x")[i])) for i in range(k)]
+    return resid.groupBy("level_id", "step").agg((F.greatest(*sums) < 1e-4).alias("solved"))
+
+
+@query(
+    "boosting_lowers_loss",
+    f"""{PANEL} SELECT level_id, CAST(unnest(generate_series(1, 3)) AS INTEGER) AS round, true AS lower FROM (SELECT DISTINCT level_id FROM levels)""",
+)
+def _(spark, sf_dir):
+    """Each round of boosting lowers the squared error of every level's trees."""
+    train = models.hold_out(crossed_arrays(spark, sf_dir), SERIES, H)
+    _, losses = boosted.boosted_forecast(train, SERIES, "y", H, 12, KEYS, "level", rounds=3)
+    rows = [(level, k, bool(losses[k, level] < losses[k - 1, level])) for k in range(1, 4) for level in range(losses.shape[1])]
+    return spark.createDataFrame(rows, "level_id int, round int, lower boolean")
+
+
+def models_on(left: str, right: str, cols):
+    """Null-safe equality of columns that differ by a prefix."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}"))
+    return cond
+
+
 @query(
     "run_experiment_grid",
     f"""SELECT model AS forecast_model, way AS forecast_method, optim_method, metric, 6 AS n_methods, 6 AS n_values

@@ -147,3 +147,24 @@ def test_fold_rows_mark_train_and_test(spark):
     panel = spark.createDataFrame([(x, 1.0) for x in days], "ds date, y double")
     got = folds.fold_rows(panel, folds.fold_table(panel, 4)).groupBy("fold", "is_test").count().collect()  # floor(20*.45/4) = 2
     assert {(r.fold, r.is_test): r["count"] for r in got} == {(1, False): 12, (1, True): 4, (2, False): 16, (2, True): 4}
+
+
+def test_models_that_series_share(spark):
+    """Each of them covers every series, fold and date, alone or per level, and ends in scores."""
+    raw = inputs.crossed_rows(spark, SF)
+    cfg = experiment.Settings(models=(experiment.POOLED, experiment.DIRECT), forecast_methods=("global", "level"), optim_methods=("optimize_nnls",))
+    out = experiment.run_experiment(raw, inputs.CROSSED, cfg, balanced=True)
+    counts = out["fold_forecasts"].groupBy("model", "forecast_method").agg(F.count("*").alias("n"), F.count("pred").alias("p")).collect()
+    assert {(r.model, r.forecast_method) for r in counts} == {(m, w) for m in cfg.models for w in cfg.forecast_methods}
+    assert {(r.n, r.p) for r in counts} == {(2 * 12 * 216, 2 * 12 * 216)}
+    assert out["forecasts"].filter("pred is not null").groupBy("model", "forecast_method").count().filter("count != 12 * 216").count() == 0
+    assert out["metrics"].filter("value is null").count() == 0
+
+
+def test_boosted_trees_of_every_fold(spark):
+    rows = [(0, "a", k, [float(10 + i % 4 * 3 + k) for i in range(24 + 4 * k)]) for k in (1, 2)]
+    hist = spark.createDataFrame(rows, "level_id int, key string, fold int, hist array<double>")
+    out = experiment.shared_forecast(experiment.BOOSTED, hist, ["level_id", "key"], "hist", 3, 4, "global", [1, 2]).collect()
+    assert sorted((r.fold, len(r.pred)) for r in out) == [(1, 3), (2, 3)]
+    with pytest.raises(ValueError):
+        experiment.shared_forecast("Other", hist, ["level_id", "key"], "hist", 3, 4, "global")
