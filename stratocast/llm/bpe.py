@@ -18,14 +18,16 @@ from pyspark.sql.types import StructType
 
 from stratocast.llm import words as W
 from stratocast.llm.common import documents, keyed, map_arrow, real_id, unpacked, unused
+from stratocast.session import cut_lineage
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes from which a piece without white space counts as long, and bytes of a leaf of its tree.
 LONG, LEAF = 4096, 1024
 #: A worker remembers pieces in two tables of 2**SLOTS places, and their ids in room for ROOM ids. Nothing but time
-#: depends on it. New pieces are given to the library so many at a time.
-SLOTS, ROOM, AT_ONCE = 18, 1 << 22, 4096
+#: depends on it; ROOM should hold some eight ids for each place of the first table. New pieces are given to the library
+#: so many at a time.
+SLOTS, ROOM, AT_ONCE = 19, 1 << 23, 4096
 #: Tokens on each side of a join that are encoded again at first.
 WINDOW = 4
 
@@ -66,9 +68,13 @@ class Encoder:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         # a character of a name is a byte of the token, but for special tokens, which stand for their own text
         self.bytes_of = np.array([len(n.encode()) if n in self.special else len(n) for n in self.names], dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty tables of remembered pieces."""
         self.keys = np.zeros((2, 1 << SLOTS), dtype=np.uint64)
-        self.begins = np.zeros((2, 1 << SLOTS), dtype=np.int64)
-        self.sizes = np.zeros((2, 1 << SLOTS), dtype=np.int64)
+        self.begins = np.zeros((2, 1 << SLOTS), dtype=np.int32)
+        self.sizes = np.zeros((2, 1 << SLOTS), dtype=np.int32)
         self.store, self.used = np.empty(ROOM, dtype=np.int32), 0
 
     @classmethod
@@ -88,7 +94,7 @@ class Encoder:
         if self.used <= ROOM // 2:
             return
         live = np.flatnonzero(self.keys[0])
-        sizes = self.sizes[0][live]
+        sizes = self.sizes[0][live].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         if total[-1] > ROOM // 4:
             live, total = live[:0], total[:1]
@@ -224,8 +230,8 @@ class Encoder:
         self._make_room()
         first, second = self._places(h)
         in_first, in_second = self.keys[0][first] == h, self.keys[1][second] == h
-        begins = np.where(in_first, self.begins[0][first], self.begins[1][second])
-        sizes = np.where(in_first, self.sizes[0][first], self.sizes[1][second])
+        begins = np.where(in_first, self.begins[0][first], self.begins[1][second]).astype(np.int64)
+        sizes = np.where(in_first, self.sizes[0][first], self.sizes[1][second]).astype(np.int64)
         missing = np.flatnonzero(~(in_first | in_second))
         if len(missing):
             uniq, lead, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
@@ -353,7 +359,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             yield whole()
 
     # in code points, so that no text with a word of LONG bytes is missed; `leaves` looks at the bytes
-    long = rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]{%d}" % (LONG // 4)))
+    long = cut_lineage(rows.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]{%d}" % (LONG // 4))))
+    if long.isEmpty():
+        return map_arrow(rows, short, out)
     spread = map_arrow(long.dropDuplicates(["id", "th"]), leaves, "id long, th long, at long, part string, joins boolean").repartition("id", "th", "at")
     encoded = map_arrow(spread, encode_parts, "id long, th long, at long, ids array<int>, joins boolean")
     gathered = encoded.repartition("id", "th").sortWithinPartitions("id", "th", "at").mapInArrow(gather, "id long, th long, token_ids array<int>")

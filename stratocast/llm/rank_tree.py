@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stratocast.llm import words as W
-from stratocast.llm.bpe import ROOM, SLOTS, Encoder
+from stratocast.llm.bpe import Encoder
 from stratocast.llm.common import documents, keyed, map_arrow, real_id
 
 #: Bytes of a match from which it has a tree of its own, and cells of the trees that are worked on side by side.
@@ -91,10 +91,7 @@ class TreeEncoder(Encoder):
             self.table_key[at[free]], self.table_rank[at[free]] = keys[free], ranks[free]
             left = self.table_key[at] != keys
             keys, ranks, at = keys[left], ranks[left], (at[left] + 1) & (len(self.table_key) - 1)
-        self.keys = np.zeros((2, 1 << SLOTS), dtype=np.uint64)
-        self.begins = np.zeros((2, 1 << SLOTS), dtype=np.int64)
-        self.sizes = np.zeros((2, 1 << SLOTS), dtype=np.int64)
-        self.store, self.used = np.empty(ROOM, dtype=np.int32), 0
+        self.forget()
 
     @classmethod
     def of(cls, path: str, pattern: str) -> TreeEncoder:
