@@ -13,7 +13,7 @@ from stratocast.llm.common import salted_join
 from stratocast.session import cut_lineage
 
 #: Links that a task holds before it reduces them to a forest.
-HOLD = 1 << 20
+HOLD = 1 << 18
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
