@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding of whole texts.
 
 A text is cut only where the vocabulary's own splitting pattern always cuts: between a word and the white space after
-it. Each distinct piece is encoded once and its ids are copied to every place where it stands. A long piece without
+it, and before a mark of punctuation after a letter. Each distinct piece is encoded once and its ids are copied to every place where it stands. A long piece without
 white space is encoded by tree concatenation: halves on their own, in separate tasks, then windows around each join.
 """
 
@@ -53,6 +53,22 @@ def _white_end(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out | (three & (c == 0xE3) & (b == 0x80) & (a == 0x80))
 
 
+#: Punctuation that often ends a word, and letters of one byte.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*b",.;:!?"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Where punctuation follows a letter (of ASCII, or one from U+00C0 to U+00FF): the pattern cuts there, too, and a word
+    is the same piece with and without it."""
+    at = np.flatnonzero(_MARK[data[1:]]) + 1
+    a, b = data[at - 1], data[np.maximum(at - 2, 0)]
+    wide = (b == 0xC3) & (at > 1) & (a >= 0x80) & (a <= 0xBF) & (a != 0x97) & (a != 0xB7)
+    return at[_LETTER[a] | wide]
+
+
 class Encoder:
     """A vocabulary file of the tokenizers library in this process."""
 
@@ -65,6 +81,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
+        # no cut may fall into a special token
+        self.cut_marks = not any(_MARK[list(x.encode())].any() for x in self.special)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         # a character of a name is a byte of the token, but for special tokens, which stand for their own text
         self.bytes_of = np.array([len(n.encode()) if n in self.special else len(n) for n in self.names], dtype=np.int64)
@@ -196,7 +214,10 @@ class Encoder:
 
     def pieces(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the pieces of the texts; together they are all bytes."""
-        cuts = W.distinct(np.concatenate([words.offsets, words.ends[~_white_end(words.data, words.starts, words.ends)]]))
+        cuts = [words.offsets, words.ends[~_white_end(words.data, words.starts, words.ends)]]
+        if self.cut_marks:
+            cuts.append(_marks(words.data))
+        cuts = W.distinct(np.concatenate(cuts))
         return cuts[:-1], cuts[1:]
 
     def _new(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ smaller of its two children, so the root names the leftmost pair of the smallest
 starts there, the pair before it and the pair that vanishes: three leaves, and the nodes above them. Matches of one
 tree size are worked on side by side in numpy; a match longer than WIDE bytes has a tree of its own.
 
-Texts are cut only where the pattern always cuts: between a word and the ASCII white space after it. What each such
+Texts are cut only where the pattern always cuts: between a word and the ASCII white space after it, and before a mark of
+punctuation after a letter. What each such
 piece encodes to is remembered per worker, in bounded tables.
 """
 
@@ -65,6 +66,8 @@ class TreeEncoder(Encoder):
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
+        # the public pattern cuts between letters and marks; of another one that is not known
+        self.cut_marks = pattern == default_pattern()
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"{path} has no token for the bytes {missing}")

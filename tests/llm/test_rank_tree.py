@@ -48,7 +48,7 @@ def test_null_ids_decode_to_null(spark):
 def test_random_texts(library):
     encoder = TreeEncoder(default_path(), default_pattern())
     rng = random.Random(3)
-    parts = ["'s", "'ll", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", " ", "é", "漢", "😀", *"abcdeABC019.,!"]
+    parts = ["'s", "×", "÷", "ñ", ";", ":", "?", "!", "…", "'ll", " ", "  ", "\n", "\t", "\x85", "\xa0", "\x1c", " ", "é", "漢", "😀", *"abcdeABC019.,!"]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 120))) for _ in range(800)]
     made += [" " * 3000, "\n" * 200 + "a", "ab" * 4000, "".join(rng.choice("abcdefghij") for _ in range(9000))]
     for low, high, words in W.chunks(pa.array(made)):
