@@ -40,8 +40,9 @@ def drop_windows(docs: DataFrame, length: int = 20, joined: bool = False) -> Dat
     """(id, th, n_words, n_removed, spans, text): each document without the words that a window of `length` words
     covers whose words also start earlier: in a document with a smaller id, or further ahead in the same one.
 
-    Two levels: windows of length / 2 words that represent a longer one are counted, and only where one repeats is it
-    extended to `length` words. Copies of a whole text are settled first, by a digest. Windows are judged on the input, not on what is left. Null ids come first; rows
+    One step of doubling: windows of length / 2 words that represent a longer one (its minimisers, as in `suffixes`) are
+    counted, and only where one repeats are the windows of `length` words that hold it judged. `repeated_lengths` goes
+    on from there by pairs of halves until none survive. Copies of a whole text are settled first, by a digest. Windows are judged on the input, not on what is left. Null ids come first; rows
     with the same id are compared as one document with itself, so whole copies of a row stay. Null, empty and
     shorter texts lose nothing. Other columns are not read. Equality is that of 63-bit hashes of the words' bytes.
     """

@@ -1,4 +1,4 @@
-"""Suffix-array deduplication: sparse suffixes, sorted, compared with their neighbours, and extended."""
+"""Deduplication by sparse suffixes at minimisers, known by the hash of their first words, and the windows around them."""
 
 from __future__ import annotations
 
@@ -30,10 +30,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, joined
 
     1. Of all suffixes those are retained that start at a minimiser: the run of `seed` words with the smallest hash
        among those of some `length` words. A passage that repeats retains suffixes at the same places of each copy.
-    2. The retained suffixes are sorted by their first `seed` words and compared with their neighbours; a suffix
-       with no equal neighbour starts no match.
-    3. Matches are extended word by word: as far to the left, and to the right, as `length` words allow. Extensions
-       are sorted once more, and those with an equal neighbour before them are repeats. What they cover goes.
+    2. The retained suffixes are grouped by a hash of their first `seed` words, which the shuffle sorts by; a suffix
+       whose hash occurs once starts no match. They are not in the order of their words.
+    3. Around each suffix that is left, the windows of `length` words that hold its seed are judged by their hashes in
+       the same way, to the left and to the right; a longer match is the union of its windows. What they cover goes.
 
     Copies of a whole text are settled first, by a digest: all of it is earlier, and none of it is sorted.
 
