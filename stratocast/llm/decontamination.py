@@ -2,13 +2,14 @@
 
 Texts are compared as lower-case words without punctuation. Documents and benchmark items that share a seed, a run of
 SEED words, are tiled: the longest runs that both have are marked, longest first, so that no word is used twice. An
-item leaks into a document when tiles cover enough of it, in whatever order its parts stand there.
+item leaks into a document when tiles cover enough of it, in whatever order its parts stand there. An item of fewer
+than SEED words is one seed, and leaks where all its words stand in a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -50,39 +51,36 @@ def tiles(item: np.ndarray, runs: list[np.ndarray], shortest: int) -> list[tuple
     Running Karp-Rabin: windows of the search length that hold no marked word are hashed on both sides; equal ones
     are extended as far as words agree and are free; the longest are marked first. A match much longer than the search
     length raises it; otherwise it is halved down to `shortest`. Ties go to the first place in the item, then the
-    first run and place in it.
+    first run and place in it. Only equal windows with different words before them begin a match, so a repeated word
+    or phrase costs one match for each end of its runs, not one for each pair of its places.
     """
-    free_item = np.ones(len(item), dtype=bool)
-    free = [np.ones(len(r), dtype=bool) for r in runs]
+    first = np.cumsum([0, *map(len, runs)])
+    doc = np.concatenate([*runs, item[:0]])
+    text = np.concatenate([item, doc])  # the item, then the runs: one array, so that one hash compares both
+    n = len(item)
+    starts = np.concatenate([[0], n + first[:-1]])[[True, *(len(r) > 0 for r in runs)]]
+    free = np.ones(len(text), dtype=bool)
+    hashed = W.Ranges(text, 2)
     out: list[tuple[int, int, int, int]] = []
-    size = max(shortest, len(item) // 2)
+    size = max(shortest, n // 2)
     while True:
-        table: dict[int, list[int]] = {}
-        for k, h in zip(*_free_windows(item, free_item, size)):
-            table.setdefault(h, []).append(k)
-        found, raised = [], 0
-        for r, run in enumerate(runs):
-            for j, h in zip(*_free_windows(run, free[r], size)):
-                for i in table.get(h, ()):
-                    n = size
-                    if i and j and free_item[i - 1] and free[r][j - 1] and item[i - 1] == run[j - 1]:
-                        continue  # the window before this one belongs to the same match
-                    while i + n < len(item) and j + n < len(run) and free_item[i + n] and free[r][j + n] and item[i + n] == run[j + n]:
-                        n += 1
-                    found.append((-n, i, r, j))
-                    raised = max(raised, n)
+        room = _room(free, starts)
+        i, j = _beginnings(text, hashed, room, starts, n, size)
+        length = _agreeing(hashed, i, j, np.minimum(room[i], room[j]), size)
+        raised = int(length.max(initial=0))
         if raised > 2 * size:
             size = raised
             continue
+        order = np.lexsort((j, i, -length))
         again = False
-        for n, i, r, j in sorted(found):
-            n = -n
-            taken = ~(free_item[i : i + n] & free[r][j : j + n])
-            if taken.any():
-                again |= bool(n > size)  # what is left of it may still be long enough
+        for a, b, k in zip(i[order].tolist(), j[order].tolist(), length[order].tolist()):
+            ends = free[a] and free[a + k - 1] and free[b] and free[b + k - 1]
+            if not ends or not (free[a : a + k].all() and free[b : b + k].all()):
+                again |= k > size  # what is left of it may still be long enough
                 continue
-            free_item[i : i + n] = free[r][j : j + n] = False
-            out.append((i, r, j, n))
+            free[a : a + k] = free[b : b + k] = False
+            r = int(np.searchsorted(first, b - n, side="right")) - 1
+            out.append((a, r, b - n - int(first[r]), k))
         if again:
             continue
         if size == shortest:
@@ -90,12 +88,53 @@ def tiles(item: np.ndarray, runs: list[np.ndarray], shortest: int) -> list[tuple
         size = max(shortest, size // 2)
 
 
-def _free_windows(h: np.ndarray, free: np.ndarray, size: int) -> tuple[list[int], list[int]]:
-    if len(h) < size:
-        return [], []
-    blocked = np.concatenate([[0], np.cumsum(~free)])
-    at = np.flatnonzero(blocked[size:] == blocked[:-size])
-    return at.tolist(), W.windows(h, size, 2)[at].tolist()
+def _room(free: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many words from each place are free and in the same run."""
+    at = np.arange(len(free))
+    stop = np.full(len(free) + 1, len(free))
+    stop[:-1][~free] = at[~free]
+    stop[starts] = np.minimum(stop[starts], starts)
+    after = np.minimum.accumulate(stop[::-1])[::-1]
+    return np.where(free, np.minimum(after[1:], len(free)) - at, 0)
+
+
+def _beginnings(text: np.ndarray, hashed: W.Ranges, room: np.ndarray, starts: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the item, in the runs) at which equal free windows of `size` words stand that do not go on from equal
+    free words before them."""
+    at = np.flatnonzero(room >= size)
+    names, window = np.unique(hashed(at, at + size), return_inverse=True)
+    before = np.zeros(len(at), dtype=np.int64)  # 0: no free word of the same run stands before
+    goes_on = (at > 0) & (room[at - 1] > room[at])
+    before[goes_on] = 1 + np.unique(text[at[goes_on] - 1], return_inverse=True)[1]
+    split = int(np.searchsorted(at, n))
+    order = np.lexsort((before, window))
+    mine, theirs = order[order < split], order[order >= split]
+    # every place of the item meets the places of its window in the runs, but for the block with the same word before
+    key = window * (before.max(initial=0) + 1) + before
+    low, high = (np.searchsorted(window[theirs], window[mine], side=s) for s in ("left", "right"))
+    skip, skip_to = (np.searchsorted(key[theirs], key[mine], side=s) for s in ("left", "right"))
+    none = before[mine] == 0
+    skip, skip_to = np.where(none, high, skip), np.where(none, high, skip_to)
+    i = np.concatenate([np.repeat(at[mine], skip - low), np.repeat(at[mine], high - skip_to)])
+    j = np.concatenate([_spans(low, skip), _spans(skip_to, high)])
+    return i, at[theirs[j]]
+
+
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0], ..., high[0] - 1, low[1], ..."""
+    count = high - low
+    total = np.concatenate([[0], np.cumsum(count)])
+    return np.repeat(low - total[:-1], count) + np.arange(total[-1])
+
+
+def _agreeing(hashed: W.Ranges, i: np.ndarray, j: np.ndarray, most: np.ndarray, least: int) -> np.ndarray:
+    """How many words agree from i and j on, at least `least` and at most `most`, by halving."""
+    low, high = np.full(len(i), least), most.copy()
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = hashed(i, i + middle) == hashed(j, j + middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
 
 
 @dataclass
@@ -107,6 +146,7 @@ class Items:
     seeds: np.ndarray  # sorted
     owner: np.ndarray  # the item of each seed
     filter: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by words: sorted hashes, their items
 
     @classmethod
     def of(cls, ids: list[int | None], texts: pa.Array) -> Items:
@@ -125,15 +165,32 @@ class Items:
             owner.append(np.full(len(chosen), k))
         flat = np.concatenate([*seeds, every[:0]])
         order = np.argsort(flat, kind="stable")
-        return cls(ids, hashes, flat[order], np.concatenate([*owner, np.zeros(0, dtype=np.int64)])[order], seed_filter(flat))
+        short = {}
+        for n in range(1, SEED):
+            of = np.array([k for k, h in enumerate(hashes) if len(h) == n], dtype=np.int64)
+            if len(of):
+                whole = np.concatenate([W.windows(hashes[k], n) for k in of])
+                by = np.argsort(whole, kind="stable")
+                short[n] = whole[by], of[by]
+        return cls(ids, hashes, flat[order], np.concatenate([*owner, np.zeros(0, dtype=np.int64)])[order], seed_filter(flat), short)
 
     def candidates(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in `grams`, item) for each of the windows that is a seed."""
         at = np.flatnonzero(self.filter[grams >> np.uint64(64 - FILTER_BITS)])
-        low, high = np.searchsorted(self.seeds, grams[at], side="left"), np.searchsorted(self.seeds, grams[at], side="right")
-        n = high - low
-        total = np.concatenate([[0], np.cumsum(n)])
-        return np.repeat(at, n), self.owner[np.repeat(low - total[:-1], n) + np.arange(total[-1])]
+        return _met(at, grams[at], self.seeds, self.owner)
+
+    def short_found(self, words: W.Words, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) of the short items that stand in the texts, each once."""
+        for n, (names, owner) in self.short.items():
+            at = np.flatnonzero(W.inside(words, n))
+            at, item = _met(at, W.windows(hashes, n)[at], names, owner)
+            doc = np.searchsorted(words.first, at, side="right") - 1
+            yield from np.unique(np.stack([doc, item], axis=1), axis=0).tolist()
+
+
+def _met(at: np.ndarray, grams: np.ndarray, names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.searchsorted(names, grams, side="left"), np.searchsorted(names, grams, side="right")
+    return np.repeat(at, high - low), owner[_spans(low, high)]
 
 
 def seed_filter(seeds: np.ndarray) -> np.ndarray:
@@ -155,6 +212,8 @@ def finders(grams: np.ndarray, items_with: np.ndarray, n_words: int) -> np.ndarr
 
 def covered(item: np.ndarray, doc: np.ndarray, grams: np.ndarray) -> int:
     """Words of the item that tiles with the document cover. `grams` are the document's windows of SEED words."""
+    if len(item) < SEED:
+        return len(item) if len(item) and np.isin(W.windows(item, len(item)), W.windows(doc, len(item)))[0] else 0
     own = np.unique(W.windows(item, SEED))
     hit = np.flatnonzero(np.isin(grams, own))
     if len(np.unique(grams[hit])) == 0:
@@ -191,8 +250,9 @@ def _sent(rows: DataFrame, items: Items) -> DataFrame:
                 a, b = words.first[d], words.first[d + 1]
                 n = covered(known.hashes[k], h[a:b], grams[a : max(a, b - SEED + 1)])
                 if n >= COVERAGE * len(known.hashes[k]):
-                    out.append((batch.column(0)[low + d].as_py(), batch.column(1)[low + d].as_py(), known.ids[k], len(known.hashes[k]), n))
-            yield _rows(out)
+                    out.append((d, k, n))
+            out += [(d, k, len(known.hashes[k])) for d, k in known.short_found(words, h)]
+            yield _rows([(batch.column(0)[low + d].as_py(), batch.column(1)[low + d].as_py(), known.ids[k], len(known.hashes[k]), n) for d, k, n in out])
 
     return map_arrow(rows, work, SCHEMA)
 
@@ -200,15 +260,23 @@ def _sent(rows: DataFrame, items: Items) -> DataFrame:
 def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     """The same for a benchmark of any size: documents and items meet by the seeds that they share."""
 
-    def grams_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, _, words in plain_words(batch.column(2)):
-            at = np.flatnonzero(W.inside(words, SEED))
-            grams = W.windows(words.hashes(), SEED)[at]
-            doc = np.searchsorted(words.first, at, side="right") - 1
-            pairs = np.unique(np.stack([doc.astype(np.uint64), grams], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.uint64)
-            doc = low + pairs[:, 0].astype(np.int64)
-            size = np.diff(words.first)[doc - low]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), *(batch.column(c).take(pa.array(doc)) for c in (0, 1)), pa.array(size)], names=["gram", "id", "th", "size"])
+    def grams_of(sizes: Sequence[int], whole: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        """The different runs of so many words of each text; `whole`: short runs only of texts that they are all of."""
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for low, _, words in plain_words(batch.column(2)):
+                h, count = words.hashes(), np.diff(words.first)
+                for n in sizes:
+                    at = np.flatnonzero(W.inside(words, n))
+                    doc = np.searchsorted(words.first, at, side="right") - 1
+                    if whole and n < SEED:
+                        at, doc = at[count[doc] == n], doc[count[doc] == n]
+                    pairs = np.unique(np.stack([doc.astype(np.uint64), W.windows(h, n)[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.uint64)
+                    of = pairs[:, 0].astype(np.int64)
+                    ids = (batch.column(c).take(pa.array(low + of)) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), *ids, pa.array(count[of])], names=["gram", "id", "th", "size"])
+
+        return work
 
     def tile(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         docs = [w.hashes() for k in range(batch.num_rows) for _, _, w in plain_words(batch.column(2).slice(k, 1))]
@@ -223,12 +291,14 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     schema = "gram long, id long, th long, size long"
     named = items.select(id_key("id").alias("item_id"), F.xxhash64("text").alias("item_th"), F.col("text").alias("item_text"))
     # copies of an item count once, or its seeds would seem to repeat; `named` brings each copy back
-    seeds = map_arrow(named.select("item_id", "item_th", "item_text").distinct(), grams_of, schema).toDF("gram", "item_id", "item_th", "size")
-    found = map_arrow(rows, grams_of, schema).select("gram", "id", "th").join(seeds.select("gram", "item_id", "item_th"), "gram")
+    once = named.select("item_id", "item_th", "item_text").distinct()
+    seeds = map_arrow(once, grams_of(range(1, SEED + 1), True), schema).toDF("gram", "item_id", "item_th", "size")
+    short = [r[0] for r in seeds.where(F.col("size") < SEED).select("size").distinct().collect()]  # SEED - 1 rows at most
+    found = map_arrow(rows, grams_of([*short, SEED], False), schema).select("gram", "id", "th").join(seeds.select("gram", "item_id", "item_th"), "gram")
     # a leak shares so many different seeds with the item, unless the item repeats itself
     own = seeds.groupBy("item_id", "item_th", "size").agg(F.count("*").alias("own"))
     hits = found.groupBy("id", "th", "item_id", "item_th").agg(F.count("*").alias("hits")).join(own, ["item_id", "item_th"])
-    least = F.ceil(F.col("size") * COVERAGE / SEED) - (F.col("size") - SEED + 1 - F.col("own"))
+    least = F.when(F.col("size") < SEED, 1).otherwise(F.ceil(F.col("size") * COVERAGE / SEED) - (F.col("size") - SEED + 1 - F.col("own")))
     pairs = hits.where(F.col("hits") >= least).select("id", "th", "item_id", "item_th")
     met = pairs.join(rows, ["id", "th"]).join(named, ["item_id", "item_th"])
     return map_arrow(met.select("id", "th", "text", "item_id", "item_text"), tile, SCHEMA).withColumn("item_id", real_id("item_id"))
@@ -238,8 +308,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, send_chars: int = SEND_CHARS, i
     """(id, th, item_id, item_words, covered_words) of every document and item of which tiles cover COVERAGE or more.
 
     A benchmark of at most `send_chars` characters is sent to every task, where documents are read once and not
-    moved; a larger one meets the documents by joins on seeds. Both ways give the same rows. Null and empty texts and
-    items of fewer than SEED words have no leaks; null document ids come as -2**63; rows that repeat an id are
+    moved; a larger one meets the documents by joins on seeds. Both ways give the same rows. Null and empty texts have
+    no leaks; an item of one to three words leaks into every document in which they stand in a row; null document ids come as -2**63; rows that repeat an id are
     tested each; repeated items are reported each, and no benchmark gives no rows.
     """
     rows = keyed(docs, id_col, text_col)

@@ -56,9 +56,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     """The hash of values[starts[i]:ends[i]] for every i."""
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(which, len(values)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(which, len(values) + 1, inverse=True)[starts])
+    return Ranges(values, which)(starts, ends)
+
+
+class Ranges:
+    """`range_hashes` of any ranges of the same values, whose sums are taken once."""
+
+    def __init__(self, values: np.ndarray, which: int):
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * powers(which, len(values)), out=self.sums[1:])
+        self.back = powers(which, len(values) + 1, inverse=True)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
 @dataclass

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,30 @@ def test_tiles_cover_as_plain_tiling_without_repeated_words(item, doc, shortest)
     assert sum(n for *_, n in d.tiles(a, [b], shortest)) == plain_tiles(item, doc, shortest)
 
 
+def test_repeated_words_and_phrases_are_tiled_at_once():
+    began = time.process_time()
+    for item, doc in ((np.ones(1600), np.ones(8000)), (np.tile(np.arange(7), 200), np.tile(np.arange(7), 2000))):
+        found = d.tiles(item.astype(np.uint64), [doc.astype(np.uint64)], 4)
+        assert sum(n for *_, n in found) == len(item)
+    assert time.process_time() - began < 2
+
+
+def test_runs_are_kept_apart():
+    item = np.arange(1, 13, dtype=np.uint64)
+    runs = [item[:0], item[:6], item[:0], item[6:], item[2:9]]
+    assert d.tiles(item, runs, 4) == [(2, 4, 0, 7)]
+    assert d.tiles(item, runs[:4], 4) == [(0, 1, 0, 6), (6, 3, 0, 6)]
+
+
+@pytest.mark.parametrize("send", [d.SEND_CHARS, -1])
+def test_short_items_leak_where_their_words_stand_in_a_row(spark, send):
+    items = [(1, "Answer"), (2, "two words"), (3, "three words, here"), (3, "three words, here"), (4, ""), (5, None), (6, "four words stand here")]
+    rows = [(1, "The ANSWER is."), (2, "one two. Words"), (3, "two other words"), (4, "three words here, and two words"), (5, "answer"), (5, "answer"), (6, ""), (7, None), (8, "four words stand here")]
+    found = d.leaks(frame(spark, rows), frame(spark, items, columns="item_id long, text string"), send_chars=send).collect()
+    want = [(1, 1, 1, 1), (2, 2, 2, 2), (4, 2, 2, 2), (4, 3, 3, 3), (4, 3, 3, 3), (5, 1, 1, 1), (5, 1, 1, 1), (8, 6, 4, 4)]
+    assert sorted((r.id, r.item_id, r.item_words, r.covered_words) for r in found) == want
+
+
 def test_reordered_text_is_covered():
     item = np.arange(1, 41, dtype=np.uint64)
     doc = np.concatenate([item[20:], item[10:20], item[:10]])
