@@ -8,8 +8,10 @@ from html import unescape
 
 #: Fixed values of HTML: elements without an end, inline elements, elements whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msub msup msubsup msqrt mroot mover munder munderover mstyle mspace mpadded semantics".split())
+RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml textarea title".split())
+#: Of these the ones that hide the rest of the page where they have no end; the others then end at the next tag.
+ENDLESS = frozenset("script style".split())
 #: What a new element of a kind closes, if it is open within the nearest of the elements that follow.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -22,6 +24,7 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_EMPTY = re.compile(r"""(?:\A|[\s"'])/\Z""")  # the slash of `<br />`, not that of `<a href=/>`
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 
 
@@ -44,7 +47,8 @@ def _names(attributes: str) -> str:
 
 def split_blocks(html: str | None) -> list[TextBlock]:
     """The blocks of a page. White space is single spaces, character references are decoded; a tag or comment that the
-    end of the page cuts off is no text."""
+    end of the page cuts off is no text. A frame or the like hides all it holds, and without an end only what
+    stands before the next tag; a drawing ends at the next block. Formulas are text."""
     if not html:
         return []
     out: list[TextBlock] = []
@@ -77,11 +81,15 @@ def split_blocks(html: str | None) -> list[TextBlock]:
     pos = 0
     while True:
         if raw is not None:
-            end = re.compile(rf"</{raw}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
-            if end is None:
+            block = r"|(?=<(?:p|div|h[1-6]|ul|ol|dl|li|pre|table|blockquote)\b)" if raw == "svg" else ""  # which ends a drawing
+            end = re.compile(rf"</{raw}\b[^>]*(?:>|\Z){block}", re.I).search(html, pos)
+            if end is None and raw in ENDLESS:
                 pos = at = len(html)
                 break
-            pos = at = end.end()
+            if end is None:
+                pos = at = (html.find("<", pos) + 1 or len(html) + 1) - 1
+            else:
+                pos = at = end.end()
             raw = None
         m = _TAG.search(html, pos)
         if m is None:
@@ -107,10 +115,10 @@ def split_blocks(html: str | None) -> list[TextBlock]:
                     break
             continue
         attributes = m["attributes"]
-        if name in RAW and not attributes.endswith("/"):
+        if name in RAW and not _EMPTY.search(attributes):
             raw = name
             continue
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or _EMPTY.search(attributes):
             continue
         if not inline:
             # a block closes an open paragraph, and an item closes the one before it

@@ -18,7 +18,7 @@ from stratocast.llm.layouts import MARK, marked_page
 from stratocast.llm.recurrent import Labeller
 
 #: Buckets of the hashed path, of the innermost elements and of words, and the numbers of a block.
-PATH, INNER, WORDS, NUMBERS = 128, 32, 32, 9
+PATH, INNER, WORDS, NUMBERS = 128, 64, 32, 10
 SIZE = PATH + INNER + WORDS + NUMBERS
 #: The labeller's units a direction, and what it is fitted on: made-up pages (the bound of the sample) and passes.
 HIDDEN, TRAIN_PAGES, EPOCHS, SEED = 24, 800, 10, 5
@@ -69,7 +69,7 @@ def features(pages: list[list[TextBlock]]) -> list[np.ndarray]:
             [
                 np.log1p(counts) / 4, np.minimum(np.array([b.link_chars for b in blocks]) / size, 1), [b.text[-1] in ".!?:…\"'»”" for b in blocks],
                 [b.text[0].isupper() for b in blocks], np.log1p(place) / 3, np.log1p(left) / 3, [len(b.path) / 8 for b in blocks],
-                ["©" in b.text for b in blocks], counts < 4,
+                ["©" in b.text for b in blocks], counts < 4, [any(names for _, names in b.path[-3:]) for b in blocks],
             ],
             axis=1,
         )

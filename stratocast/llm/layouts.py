@@ -95,7 +95,7 @@ def marked_page(seed: int) -> tuple[str, str]:
         p.box(("cookie", "cookie-notice", "notice", "consent", "alert", "gdpr"), f"<p>{inner}</p>" if chance(0.5) else inner)
 
     def menu() -> None:
-        inner = p.links(rng.randint(2, 9), rng.choice(("li", "li", "flat")))
+        inner = p.links(rng.randint(1, 9), rng.choice(("li", "li", "flat")))
         p.box(("menu", "nav", "navbar", "topnav", "breadcrumb"), inner, ("nav", "nav", "div"))
 
     def heading() -> None:
@@ -103,7 +103,10 @@ def marked_page(seed: int) -> tuple[str, str]:
         p.box(("header", "masthead", "top", "site-header"), inner, ("header", "header", "div"))
 
     def sidebar() -> None:
-        inner = f"<h3>{p.sentence(1, 3)}</h3>" + (p.links(rng.randint(3, 8)) if chance(0.6) else f"<p>{p.text(rng.randint(1, 4))}</p>")
+        tag = rng.choice(("h2", "h3", "h3", "h4", "b"))
+        inner = f"<{tag}>{p.sentence(1, 3)}</{tag}>" + (p.links(rng.randint(3, 8)) if chance(0.6) else f"<p>{p.text(rng.randint(1, 4))}</p>")
+        if chance(0.15):
+            inner += f"<table><tr><td>{p.word()}</td><td>{rng.randint(0, 999)}</td></tr></table>"
         p.box(("sidebar", "related", "widget", "trending", "recommended"), inner, ("aside", "aside", "div"))
 
     def form() -> None:
@@ -112,12 +115,72 @@ def marked_page(seed: int) -> tuple[str, str]:
 
     def comments() -> None:
         items = "".join(f"<div class='comment'><b>{p.word()}</b><p>{p.text(rng.randint(1, 4))}</p><a href='#r'>Reply</a></div>" for _ in range(rng.randint(1, 5)))
-        p.box(("comments", "comment-list", "discussion", "responses"), f"<h3>{rng.choice(('Comments', 'Responses', p.word()))}</h3>{items}", ("section", "div"))
+        p.box(("comments", "comment-list", "discussion", "responses"), f"<{(tag := rng.choice(('h2', 'h3', 'h3', 'h4')))}>{rng.choice(('Comments', 'Responses', p.word()))}</{tag}>{items}", ("section", "div"))
 
     def footer() -> None:
         inner = f"&copy; {p.word()}.example.com &middot; {p.text(rng.randint(1, 2))}" if chance(0.6) else f"<p>{p.text(rng.randint(1, 2))}</p>" + p.links(rng.randint(1, 6), rng.choice(("li", "flat")))
         p.box(("footer", "bottom", "site-footer", "copyright"), inner, ("footer", "footer", "div"))
 
+    def listing(tag: str) -> None:
+        p.put(f"<{tag}>")
+        for _ in range(rng.randint(2, 5)):
+            p.keep(p.sentence(1, 9), "<li>", "</li>")
+        p.put(f"</{tag}>")
+
+    def subhead() -> None:
+        tag = rng.choice(("h3", "h3", "h3", "h4", "h5", "h6"))
+        p.keep(p.sentence(1, 7), f"<{tag}>", f"</{tag}>")
+        if chance(0.7):
+            p.keep(p.text(rng.randint(1, 4)), "<p>", "</p>")
+
+    def table() -> None:
+        width = rng.randint(2, 4)
+        before, after = rng.choice((("<table>", "</table>"), ("<table class='data'>", "</table>"), ("<div class='table'><table>", "</table></div>")))
+        p.put(before)
+        if chance(0.3):
+            p.keep(p.sentence(1, 8), "<caption>", "</caption>")
+        for row in range(rng.randint(2, 5)):
+            tag = "th" if row == 0 and chance(0.6) else "td"
+            p.put("<tr>")
+            for _ in range(width):
+                p.keep(str(rng.randint(0, 9999)) if chance(0.4) else p.sentence(1, 3).rstrip(".!?"), f"<{tag}>", f"</{tag}>" if chance(0.9) else "")
+            p.put("</tr>")
+        p.put(after)
+
+    def code() -> None:
+        lines = [f"{p.word()} = {p.word()}({rng.randint(0, 99)})" for _ in range(rng.randint(1, 6))]
+        p.main.append(" ".join(lines))
+        inner = rng.choice(("{}", "<code>{}</code>")).format(MARK + "\n".join(lines))
+        p.put(rng.choice(("<pre>{}</pre>", "<pre class='code'>{}</pre>", "<div class='highlight'><pre>{}</pre></div>")).format(inner))
+
+    def terms() -> None:
+        p.put("<dl>")
+        for _ in range(rng.randint(1, 4)):
+            p.keep(p.word(), "<dt>", "</dt>")
+            p.keep(p.sentence(1, 14), "<dd>", "</dd>")
+        p.put("</dl>")
+
+    def figure() -> None:
+        p.put("<figure>", rng.choice(("<img src='a.png'>", "<svg><path d='M0 0'/><text>x</text></svg>", "")))
+        p.keep(p.sentence(2, 14), "<figcaption>", "</figcaption>")
+        p.put("</figure>")
+
+    def section() -> None:
+        tag, names = rng.choice((("section", ""), ("section", ""), ("section", ""), ("section", " id='s2'"), ("div", " class='section'"), ("div", " class='paragraph'"), ("div", ""), ("div", ""), ("div", "")))
+        p.put(f"<{tag}{names}>")
+        if chance(0.6):
+            subhead()
+        p.keep(p.text(rng.randint(1, 4)), "<p>", "</p>")
+        p.put(f"</{tag}>")
+
+    def loose_text() -> None:
+        p.keep(p.text(rng.randint(1, 4)), "<div>", "</div>")
+
+    def formula() -> None:
+        p.main.append(line := f"{p.sentence(2, 8)} x=2 {p.sentence(2, 8)}")
+        a, b = line.split(" x=2 ")
+        p.put(f"<p>{MARK}{a} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {b}</p>")
+
     def article() -> None:
         opening = rng.choice(("<article>", "<article>", "<article>", '<article class="post">', '<main><article>', "<main>", '<div class="content">', '<div class="post entry-content">', '<div id="article-body">', "<main><div class='story'>", "<div role='main'>"))
         p.put(opening)
@@ -126,26 +189,26 @@ def marked_page(seed: int) -> tuple[str, str]:
             wrap = chance(0.2)
             p.keep(title if chance(0.8) else p.sentence(2, 10), f"<header><{tag}>" if wrap else f"<{tag}>", f"</{tag}></header>" if wrap else f"</{tag}>")
         loose = chance(0.4)
-        for _ in range(rng.randint(1, 22)):
+        rich = chance(0.6)  # others hold paragraphs only, with a list or a quotation
+        for _ in range(rng.randint(60, 160) if chance(0.02) else rng.randint(1, 22)):
             kind = rng.random()
-            if kind < 0.78:
-                p.keep(p.text(rng.choice((1, 1, 1, 2, 3, 5, 8))), "<p>", "</p>" if not loose or chance(0.8) else "")
-            elif kind < 0.84:
+            if kind < 0.06:
                 p.main.append(line := p.sentence(2, 30))
                 p.put(f"<p><b>{MARK}{line}<br>")
-            elif kind < 0.88:
+            elif kind < 0.10:
                 p.keep(p.sentence(1, 6), "<h2>", "</h2>")
-            elif kind < 0.93:
-                p.put("<ul>")
-                for _ in range(rng.randint(2, 5)):
-                    p.keep(p.sentence(1, 9), "<li>", "</li>")
-                p.put("</ul>")
-            elif kind < 0.96:
+            elif kind < 0.14:
+                listing("ul")
+            elif kind < 0.17:
                 p.keep(p.text(2), "<blockquote><p>", "</p></blockquote>")
-            elif kind < 0.98:
+            elif kind < 0.19:
                 advert()
-            else:
+            elif kind < 0.21:
                 sidebar()
+            elif rich and kind < 0.55:
+                rng.choice((subhead, subhead, lambda: listing("ol"), table, code, terms, figure, section, section, loose_text, formula))()
+            else:
+                p.keep(p.text(rng.choice((1, 1, 1, 2, 3, 5, 8))), "<p>", "</p>" if not loose or chance(0.8) else "")
         if chance(0.15):
             p.box(("share", "social", "tags"), p.links(3, "flat"))
         if chance(0.12):
